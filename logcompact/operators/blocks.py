@@ -33,7 +33,7 @@ from logcompact.operators.ordered import (
     across_chunks,
     attach,
     chunked,
-    running_sum,
+    running,
     streaks,
     with_exprs,
     within_chunk,
@@ -214,10 +214,11 @@ def group_block_lines(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
         F.expr("min(_file_first) AS _block_first"),
         F.expr("coalesce(max(IF(_file = '', _file_n, NULL)), 0L) AS _loose"),
     )
-    files = running_sum(
+    files = running(
         chunked(files, "_file_first", size),
         ["run_id", "_block"],
         ["_file_first"],
+        "sum",
         "IF(_file = '', 0, _file_n + IF(_file_n > 1, 1, 0))",
         "_offset",
     )

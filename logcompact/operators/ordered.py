@@ -118,21 +118,28 @@ def streaks(
     )
 
 
-def running_sum(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, name: str
+def running(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], aggregate: str, value: str, name: str
 ) -> DataFrame:
-    """Add the sum of ``amount`` over the rows before each row of its group."""
+    """Add ``aggregate`` (sum or max) of a BIGINT expression over the rows before each row.
+
+    A sum over no rows is 0, a maximum over no rows is null.
+    """
     inner, outer = within_chunk(keys, order), across_chunks(keys)
-    rows = with_exprs(rows, _amount=f"CAST({amount} AS BIGINT)")
+    rows = with_exprs(rows, _value=f"CAST({value} AS BIGINT)")
     parts = with_exprs(
-        rows.groupBy(*keys, CHUNK).agg(F.expr("sum(_amount) AS _part")),
-        _base=f"coalesce(sum(_part) OVER ({outer} {BEFORE}), 0L)",
+        rows.groupBy(*keys, CHUNK).agg(F.expr(f"{aggregate}(_value) AS _part")),
+        _base=f"{aggregate}(_part) OVER ({outer} {BEFORE})",
     ).drop("_part")
-    within = with_exprs(rows, _within=f"coalesce(sum(_amount) OVER ({inner} {BEFORE}), 0L)")
+    within = with_exprs(rows, _within=f"{aggregate}(_value) OVER ({inner} {BEFORE})")
+    total = {
+        "sum": "coalesce(_base, 0L) + coalesce(_within, 0L)",
+        "max": "coalesce(greatest(_base, _within), _base, _within)",
+    }
     return (
-        within.join(staged(parts, "sums"), [*keys, CHUNK])
-        .withColumn(name, F.expr("_base + _within"))
-        .drop("_base", "_within", "_amount")
+        within.join(staged(parts, "running"), [*keys, CHUNK])
+        .withColumn(name, F.expr(total[aggregate]))
+        .drop("_base", "_within", "_value")
     )
 
 
@@ -140,7 +147,7 @@ def number_rows(
     rows: DataFrame, keys: Sequence[str], position: str, name: str, size: int = CHUNK_ROWS
 ) -> DataFrame:
     """Number the rows of each group from 1 in the order of an integer position."""
-    counted = running_sum(chunked(rows, position, size), keys, [position], "1", name)
+    counted = running(chunked(rows, position, size), keys, [position], "sum", "1", name)
     return counted.withColumn(name, F.expr(f"{name} + 1")).drop(CHUNK)
 
 
