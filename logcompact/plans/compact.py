@@ -1,2 +1,166 @@
+"""Whole runs from raw output to compacted output and history."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logcompact.functions.commands import is_excluded, is_security
+from logcompact.functions.registry import attach_profile
+from logcompact.functions.text import detect_kind
 from logcompact.operators.blocks import compact_lines
-from logcompact.operators.caps import cap_rows
+from logcompact.operators.caps import MAX_GREP_HITS, MAX_STACK_FRAMES, cap_rows
+from logcompact.operators.loops import loop_guard
+from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked
+from logcompact.operators.reports import (
+    place,
+    summarize_junit,
+    summarize_tap,
+    summarize_test_events,
+)
+from logcompact.operators.rules import (
+    MAX_TEXT_BYTES,
+    apply_project_rules,
+    apply_rules,
+    drop_blank,
+    match_rule,
+)
+from logcompact.operators.savings import run_savings
+from logcompact.session import staged
+from logcompact.sources.control import ProjectRule, Rule
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each run, by partial aggregation."""
+    return lines.groupBy("run_id").agg(F.min_by("text", "line_no").alias("first_line"))
+
+
+def compact_plain(
+    runs: DataFrame,
+    lines: DataFrame,
+    project_rules: Sequence[ProjectRule] = (),
+    blanks: bool = False,
+    max_stack: int = MAX_STACK_FRAMES,
+    max_grep: int = MAX_GREP_HITS,
+    size: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Compact plain output: (run_id, pos, kind, n, sample, text), ordered by pos in each run.
+
+    Blank lines are removed first, so that an error block usually lasts to the end of its run;
+    ``blanks`` keeps them, so that two of them close it.
+    """
+    profiles = attach_profile(runs.select("run_id", "command")).select("run_id", "profile")
+    lines = chunked(lines.select("run_id", "line_no", "text"), "line_no", size)
+    if not blanks:
+        lines = drop_blank(lines)
+    lines = attach(apply_project_rules(lines, project_rules), profiles).drop(CHUNK)
+    folded = staged(compact_lines(lines, size), "folded")
+    return cap_rows(folded, max_stack, max_grep, 2 * size)
+
+
+def route_runs(
+    runs: DataFrame,
+    lines: DataFrame,
+    rules: Sequence[Rule] = (),
+    excluded: Sequence[str] = (),
+) -> DataFrame:
+    """Choose each run's branch: (run_id, rule, kind, bypassed, branch).
+
+    A run is bypassed for a security word, an excluded command, a retry loop or its own no_filter
+    flag; otherwise a rule takes it, then the format of its first line decides.
+    """
+    loops = loop_guard(runs, excluded=tuple(excluded)).where("loop").select(
+        "run_id", F.lit(True).alias("_loop")
+    )
+    routed = (
+        match_rule(runs, rules)
+        .join(loops, "run_id", "left")
+        .join(first_lines(lines), "run_id", "left")
+        .withColumn("kind", detect_kind(F.col("first_line")))
+        .withColumn(
+            "bypassed",
+            is_security(F.col("command"), F.col("args"))
+            | is_excluded(F.col("command"), excluded)
+            | F.coalesce("_loop", F.lit(False))
+            | F.coalesce("no_filter", F.lit(False)),
+        )
+    )
+    branch = (
+        F.when(F.col("bypassed"), "bypass")
+        .when(F.col("rule").isNotNull(), "rule")
+        .otherwise(F.col("kind"))
+    )
+    return routed.withColumn("branch", branch).select("run_id", "rule", "kind", "bypassed", "branch")
+
+
+class Compacted(NamedTuple):
+    """``lines``: (run_id, place, branch, text), sorted by place in each run; ``history`` has run_id."""
+
+    lines: DataFrame
+    history: DataFrame
+
+
+def compact(
+    runs: DataFrame,
+    lines: DataFrame,
+    rules: Sequence[Rule] = (),
+    project_rules: Sequence[ProjectRule] = (),
+    excluded: Sequence[str] = (),
+    max_stack: int = MAX_STACK_FRAMES,
+    max_grep: int = MAX_GREP_HITS,
+    size: int = CHUNK_ROWS,
+    max_bytes: int = MAX_TEXT_BYTES,
+) -> Compacted:
+    """Compact every run by the branch it takes, and record what that saved."""
+    routes = staged(route_runs(runs, lines, rules, excluded), "routes")
+    facts = runs.select("run_id", "command").join(routes, "run_id")
+    # One copy of the lines with their branch, laid out by branch: each branch reads only its own.
+    lined = attach(chunked(lines.select("run_id", "line_no", "text"), "line_no", size), routes.select("run_id", "branch"))
+    raw = lined.where("branch IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).drop(CHUNK)
+    routed = _by_branch(raw)
+
+    def taken(branch: str) -> tuple[DataFrame, DataFrame]:
+        chosen = facts.where(F.col("branch") == branch)
+        return chosen, routed.where(F.col("branch") == branch).drop("branch")
+
+    plain_runs, plain = taken("plain")
+    profiles = attach_profile(plain_runs.select("run_id", "command")).select("run_id", "profile")
+    plain = apply_project_rules(drop_blank(plain), project_rules)
+    folded = compact_lines(attach(chunked(plain, "line_no", size), profiles).drop(CHUNK), size)
+    # Bypassed runs skip the filters, yet their listings, hits and frames are capped all the same.
+    bypass = taken("bypass")[1].select("run_id", (F.col("line_no") * 2).alias("pos"), "text")
+    through = F.lit("plain").alias("branch")
+    capped_in = staged(
+        folded.select("run_id", "pos", "text", through).unionByName(
+            bypass.withColumn("branch", F.lit("bypass"))
+        ),
+        "folded",
+    )
+    capped = cap_rows(capped_in, max_stack, max_grep, 2 * size)
+    ruled_runs, ruled = taken("rule")
+    parts = [capped.select("run_id", place("pos"), "text")]
+    if rules:
+        by_rules = apply_rules(ruled_runs.select("run_id", "rule"), ruled, rules, size, max_bytes)
+        parts.append(by_rules.select("run_id", place("pos"), "text"))
+    parts.append(summarize_test_events(taken("ndjson")[1], size))
+    parts.append(summarize_tap(taken("tap")[1], size))
+    parts.append(summarize_junit(taken("junit")[1], max_bytes))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = staged(out, "compacted")
+    history = run_savings(runs.join(routes.select("run_id", "bypassed"), "run_id"), lines, out)
+    return Compacted(out, history)
+
+
+def _by_branch(lines: DataFrame) -> DataFrame:
+    """Stage the lines in one folder per branch, so that a filter on it prunes files."""
+    from logcompact.session import scratch_path
+
+    spark = lines.sparkSession
+    path = scratch_path(spark, "routed")
+    lines.write.partitionBy("branch").parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
