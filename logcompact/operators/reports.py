@@ -129,7 +129,8 @@ def _seconds(col: str) -> str:
 
 def summarize_test_events(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Rendered summary of go-test events; lines that are no events come first, unchanged."""
-    events = parse_test_events(lines)
+    # Parsing JSON is the costly part, and four steps follow.
+    events = staged(parse_test_events(lines.select("run_id", "line_no", "text")), "events")
     packages = staged(test_packages(events), "packages")
     header = (
         f"IF(ok, concat('ok   ', package, {_seconds('elapsed')}), "

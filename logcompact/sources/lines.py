@@ -40,13 +40,13 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
             F.regexp_replace("value", r"\r\z", "").alias("text"),
         )
     )
-    # Numbers only grow inside a split; they are not the same in another scan, so only the
-    # difference to the split's first number is used.
+    # Another scan may cut the files elsewhere, so the cuts are fixed by writing the rows once.
+    rows = staged(rows, "captured")
     parts = rows.groupBy("file", CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_low"))
     parts = parts.withColumn(
         "_base", F.expr(f"coalesce(sum(_n) OVER (PARTITION BY file ORDER BY {CHUNK} {BEFORE}), 0L)")
     )
-    return rows.join(F.broadcast(staged(parts, "splits")), ["file", CHUNK]).select(
+    return rows.join(staged(parts, "splits"), ["file", CHUNK]).select(
         F.xxhash64("file").alias("run_id"),
         (F.col("_base") + F.col("_seq") - F.col("_low") + 1).alias("line_no"),
         "text",
