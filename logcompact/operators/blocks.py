@@ -46,7 +46,7 @@ NOWHERE = f"{-(1 << 62)}L"
 
 PLACED = (
     "run_id", "line_no", CHUNK, "text", "_plain", "_noise", "_blank",
-    "_collected", "_gap", "_block", "_in_block", "_block_head",
+    "_collected", "_gap", "_block", "_in_block", "_block_head", "_closes",
 )
 
 
@@ -71,8 +71,8 @@ def place_lines(lines: DataFrame) -> DataFrame:
     """Tell for every classified, chunked line whether it is collected or inside an error block.
 
     Adds ``_collected``, ``_in_block``, ``_block_head`` (first line of a block), ``_block`` (number
-    of the closing line before the block; one value per block) and ``_gap`` (number of the last
-    line that was no success).
+    of the closing line before the block; one value per block), ``_closes`` (second of two blank
+    lines) and ``_gap`` (number of the last line that was no success).
     """
     inner = within_chunk(["run_id"], ["line_no"])
     outer = across_chunks(["run_id"])
@@ -133,7 +133,7 @@ def place_lines(lines: DataFrame) -> DataFrame:
         _in_block="_start > _block",
         _block_head="_start > _block AND _start_before <= _block",
     ).drop(
-        "_c_seen", "_hit", "_after", "_hangs", "_known", "_closes", "_opens", "_start",
+        "_c_seen", "_hit", "_after", "_hangs", "_known", "_opens", "_start",
         "_start_before", "_p_seen", "_p_blank", "_p_held", "_p_opened", "_p_closed",
     )
 
@@ -156,12 +156,8 @@ def unfold(rows: DataFrame, exprs: str) -> DataFrame:
     return rows.withColumn("text", summary_text(F.col("kind"), F.col("n"), F.col("sample")))
 
 
-def fold_lines(placed: DataFrame) -> DataFrame:
-    """Fold success runs and repeated lines outside error blocks.
-
-    Returns (run_id, pos, kind, n, sample, text); ``pos`` orders the rows of a run: twice the line
-    number, plus one for a row that follows its line.
-    """
+def fold_streaks(placed: DataFrame) -> DataFrame:
+    """Streaks of success lines and of lines equal without numbers, among the lines that count."""
     # The first line of a block stays as a row without a key, because a block parts its neighbours.
     live = placed.where("(NOT _in_block AND (_collected OR NOT _noise)) OR _block_head")
     live = live.withColumn("_number_free", normalize_numbers(F.col("_plain")))
@@ -171,7 +167,16 @@ def fold_lines(placed: DataFrame) -> DataFrame:
         "WHEN NOT _blank THEN concat('o', _number_free) END",
     ).select("run_id", "line_no", CHUNK, "text", "_plain", "_collected", "_in_block", "_key")
     seen = streaks(live, ["run_id"], ["line_no"], "_key", parted)
-    seen = with_exprs(seen, _ends=f"NOT _s_has_next OR {parted('_key', '_s_next')}")
+    return with_exprs(seen, _ends=f"NOT _s_has_next OR {parted('_key', '_s_next')}")
+
+
+def fold_lines(placed: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Fold success runs and repeated lines outside error blocks.
+
+    Returns (run_id, pos, kind, n, sample, text); ``pos`` orders the rows of a run: twice the line
+    number, plus one for a row that follows its line.
+    """
+    seen = fold_streaks(placed) if seen is None else seen
     line = row("line_no * 2", "line", "1", "text")
     ok = row("line_no * 2 + 1", "ok", "_s_n", "_plain")
     repeated = row("line_no * 2 + 1", "repeated", "_s_n", "substring(_key, 2)")
@@ -186,6 +191,32 @@ def fold_lines(placed: DataFrame) -> DataFrame:
     )
 
 
+def settled_before(placed: DataFrame, seen: DataFrame) -> DataFrame:
+    """Per run the first line whose result later lines may still change: (run_id, cut).
+
+    That is the start of an open error block, or the first line after the last finished streak.
+    """
+    closed = placed.groupBy("run_id").agg(
+        F.expr("max_by(IF(_in_block AND NOT _closes, _block, NULL), line_no) AS _open"),
+    )
+    blocks = placed.where("_in_block").groupBy("run_id", "_block").agg(
+        F.min("line_no").alias("_low"), F.max("line_no").alias("_high")
+    )
+    blocks = blocks.join(closed, "run_id").groupBy("run_id").agg(
+        F.expr("max(IF(_block = _open, _low, NULL)) AS _open_at"),
+        F.expr("max(IF(_open IS NULL OR _block <> _open, _high, NULL)) AS _closed_at"),
+    )
+    done = seen.groupBy("run_id").agg(
+        F.expr(
+            "max(IF(NOT _in_block AND ((_ends AND _s_has_next) OR _key IS NULL), line_no, NULL)) AS _done_at"
+        )
+    )
+    ends = closed.join(blocks, "run_id", "left").join(done, "run_id", "left")
+    return ends.select(
+        "run_id", F.expr("coalesce(_open_at, greatest(_closed_at, _done_at) + 1) AS cut")
+    )
+
+
 def group_block_lines(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Group the lines of each error block by the file they refer to.
 

@@ -14,6 +14,7 @@ MAX_GREP_HITS = 30
 MAX_STACK_FRAMES = 5
 # Rows at the end of a run sort behind every line.
 END = 1 << 60
+UNLIMITED = 1 << 60
 
 
 def classify_for_caps(rows: DataFrame) -> DataFrame:
@@ -33,25 +34,64 @@ def _changed(previous: str, current: str) -> str:
     return f"{previous}.on <> {current}.on"
 
 
-def _cap_streaks(rows: DataFrame, kind: str, limit: int, marker: str, end: int) -> DataFrame:
+def _cap_streaks(
+    rows: DataFrame, kind: str, limit: int, marker: str, end: int | None, seed: DataFrame | None = None
+) -> DataFrame:
     """Keep the first rows of each streak of one kind and count the others.
 
-    Adds ``_rows``, what the row turns into: itself, a count row placed before the next row of
-    another kind (at the end when there is none), or nothing; and ``_released``, true for a row
-    right after a capped streak. ``limit`` 0 keeps all.
+    Adds ``_rows``, what the row turns into: itself, itself after the count of the streak before
+    it, or nothing; ``_released``, true for a row right after a capped streak; and ``_on``. A
+    streak at the end of a run is counted at ``end``, unless that is None. ``limit`` 0 keeps all.
     """
-    limit = limit if limit > 0 else 1 << 60
+    limit = limit if limit > 0 else UNLIMITED
     on = f"(_cap = '{kind}')"
-    value = f"named_struct('on', {on}, 'pos', pos)"
-    seen = streaks(rows, ["run_id"], ["pos"], value, _changed)
+    seen = streaks(rows, ["run_id"], ["pos"], f"named_struct('on', {on})", _changed, seed)
+    seen = with_exprs(
+        seen, _on=on, _released=f"NOT {on} AND coalesce(_s_prev.on AND _s_prev_n > {limit}, false)"
+    )
     itself = row("pos * 2 + 1", "line", "1", "text")
-    count = row(f"coalesce(_s_next.pos * 2, {end})", marker, f"_s_n - {limit}", "''")
+    before = row("pos * 2", marker, f"_s_prev_n - {limit}", "''")
+    last = row(str(end), marker, f"_s_n - {limit}", "''")
+    closing = "" if end is None else f"WHEN _on AND _s_n > {limit} AND NOT _s_has_next THEN array({last})"
     return with_exprs(
         seen,
-        _rows=f"""CASE WHEN NOT {on} OR _s_n <= {limit} THEN array({itself})
-                       WHEN NOT coalesce(_s_next.on, false) THEN array({count}) END""",
-        _released=f"NOT {on} AND coalesce(_s_prev.on AND _s_prev_n > {limit}, false)",
+        _rows=f"""CASE WHEN _released THEN array({before}, {itself})
+                       WHEN NOT _on OR _s_n <= {limit} THEN array({itself}) {closing} END""",
+    )
+
+
+def _last_streak(seen: DataFrame) -> DataFrame:
+    """Per run the open streak: (run_id, n, on)."""
+    last = seen.groupBy("run_id").agg(F.expr("max_by(named_struct('n', _s_n, 'on', _on), pos) AS s"))
+    return last.select("run_id", "s.n", "s.on")
+
+
+def _seed(state: DataFrame | None, name: str) -> DataFrame | None:
+    if state is None:
+        return None
+    known = state.where(f"{name}_n IS NOT NULL")
+    return known.selectExpr("run_id", f"{name}_n AS n", f"named_struct('on', {name}_on) AS value")
+
+
+def _cap(
+    rows: DataFrame, max_stack: int, max_grep: int, size: int, ends: bool, state: DataFrame | None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = classify_for_caps(chunked(rows.select("run_id", "pos", "text"), "pos", size))
+    listings = rows.where("_cap = 'l'").withColumn("_name", ls_name(F.col("_plain")))
+    hits = _cap_streaks(
+        rows.where("_cap <> 'l'").drop("_plain"), "g", max_grep, "grep_omitted",
+        END if ends else None, _seed(state, "grep"),
+    )
+    rest = hits.where("NOT _on AND NOT _released").select("run_id", "pos", "text", "_cap", CHUNK)
+    frames = _cap_streaks(
+        rest, "f", max_stack, "frames_omitted", END + 1 if ends else None, _seed(state, "stack")
+    )
+    out = (
+        unfold(listings, f"array({row('pos * 2 + 1', 'name', '1', '_name')})")
+        .unionByName(unfold(hits.where("_on OR _released"), "_rows"))
+        .unionByName(unfold(frames, "_rows"))
     )
+    return out, hits, frames, rest
 
 
 def cap_rows(
@@ -65,17 +105,37 @@ def cap_rows(
     Listings are left out of every count; hits are left out of frame counts; the row that ends a
     capped streak of hits passes unexamined. Returns (run_id, pos, kind, n, sample, text).
     """
-    rows = classify_for_caps(chunked(rows.select("run_id", "pos", "text"), "pos", size))
-    listings = rows.where("_cap = 'l'").withColumn("_name", ls_name(F.col("_plain")))
-    hits = _cap_streaks(
-        rows.where("_cap <> 'l'").drop("_plain"), "g", max_grep, "grep_omitted", END
+    return _cap(rows, max_stack, max_grep, size, True, None)[0]
+
+
+CAP_STATE = "run_id BIGINT, grep_n BIGINT, grep_on BOOLEAN, stack_n BIGINT, stack_on BOOLEAN"
+
+
+def continue_caps(
+    rows: DataFrame, state: DataFrame, max_stack: int, max_grep: int, size: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Cap more rows of runs that go on: the rows, and the state after them."""
+    out, hits, frames, _ = _cap(rows, max_stack, max_grep, size, False, state)
+    grep = _last_streak(hits).selectExpr("run_id", "n AS grep_n2", "on AS grep_on2")
+    stack = _last_streak(frames).selectExpr("run_id", "n AS stack_n2", "on AS stack_on2")
+    after = state.join(grep, "run_id", "full").join(stack, "run_id", "full")
+    return out, after.selectExpr(
+        "run_id",
+        "coalesce(grep_n2, grep_n) AS grep_n",
+        "coalesce(grep_on2, grep_on) AS grep_on",
+        "coalesce(stack_n2, stack_n) AS stack_n",
+        "coalesce(stack_on2, stack_on) AS stack_on",
     )
-    rest = hits.where("_cap <> 'g' AND NOT _released").select("run_id", "pos", "text", "_cap", CHUNK)
-    frames = _cap_streaks(rest, "f", max_stack, "frames_omitted", END + 1)
-    return (
-        unfold(listings, f"array({row('pos * 2 + 1', 'name', '1', '_name')})")
-        .unionByName(unfold(hits.where("_cap = 'g' OR _released"), "_rows"))
-        .unionByName(unfold(frames, "_rows"))
+
+
+def close_caps(state: DataFrame, max_stack: int, max_grep: int) -> DataFrame:
+    """The counts that ended runs still owe, from their state."""
+    grep, stack = (limit if limit > 0 else UNLIMITED for limit in (max_grep, max_stack))
+    return unfold(
+        state,
+        f"""array_compact(array(
+            IF(grep_on AND grep_n > {grep}, {row(str(END), 'grep_omitted', f'grep_n - {grep}', "''")}, NULL),
+            IF(stack_on AND stack_n > {stack}, {row(str(END + 1), 'frames_omitted', f'stack_n - {stack}', "''")}, NULL)))""",
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logcompact.sources.control import MatchOutput, ProjectRule, Rule
+from logcompact.sources.control import ProjectRule, parse_rules
 from logcompact.sources.lines import split_lines
 
 EVENT_RUNS = """
@@ -124,19 +124,37 @@ UNION ALL
 SELECT user_id, 1000000000000, CASE WHEN user_id % 13 = 0 THEN '</broken>' ELSE '</testsuite>' END
 FROM events GROUP BY user_id"""
 
-RULES = (
-    Rule(
-        "git-target", match_command=r"^git\b", strip_ansi=True, strip_lines=(r"^hint:", r"^\s*$"),
-        truncate_at=12, max_lines=5, on_empty="git: nothing",
-    ),
-    Rule(
-        "npm-target", match_command=r"^npm\s+target\s+[01]$", replace=((r"(\d+)", "<$1>"), ("<", "#")),
-        match_output=(MatchOutput(r"red #[78]\d", "red seen", "hit$"), MatchOutput(r"zzz", "never")),
-        keep_lines=(r"step", r"red", r"hit"), tail_lines=4,
-    ),
-    Rule("make-target", match_command=r"^make\b", strip_lines=(r".",), on_empty="make: quiet"),
-    Rule("cargo-one", match_command=r"^cargo target 1$", max_lines=8, tail_lines=3),
-)
+RULES_TOML = r'''
+[filters.git-target]
+match_command = "^git\\b"
+strip_ansi = true
+strip_lines_matching = ["^hint:", "^\\s*$"]
+truncate_lines_at = 12
+max_lines = 5
+on_empty = "git: nothing"
+
+[filters.npm-target]
+match_command = "^npm\\s+target\\s+[01]$"
+replace = [{ pattern = "(\\d+)", replacement = "<$1>" }, { pattern = "<", replacement = "#" }]
+match_output = [
+  { pattern = "red #[78]\\d", message = "red seen", unless = "hit$" },
+  { pattern = "zzz", message = "never" },
+]
+keep_lines_matching = ["step", "red", "hit"]
+tail_lines = 4
+
+[filters.make-target]
+match_command = "^make\\b"
+strip_lines_matching = ["."]
+on_empty = "make: quiet"
+
+[filters.cargo-one]
+match_command = "^cargo target 1$"
+max_lines = 8
+tail_lines = 3
+'''
+
+RULES = parse_rules(RULES_TOML).rules
 
 PROJECT_RULES = (
     ProjectRule(r"^note view", "suppress"),

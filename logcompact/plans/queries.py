@@ -22,6 +22,8 @@ from logcompact.session import scratch_path
 from logcompact.sources.control import merge_rules, rules_table
 from logcompact.sources.history import defaults, read_history
 from logcompact.sources.lines import read_log_lines
+from logcompact.streaming import history as history_streams
+from logcompact.streaming import lines as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -617,3 +619,134 @@ def _compact(spark: SparkSession, folder: str) -> DataFrame:
 def _compact_history(spark: SparkSession, folder: str) -> DataFrame:
     found = compact(_user_runs(spark, folder), _user_lines(spark, folder), A.RULES, A.PROJECT_RULES)
     return found.history.select("run_id", "cmd", "args", "raw_bytes", "filtered_bytes", "saved_tokens", "bypassed")
+
+
+# --- streams: a file source read to its end, compared with the batch answer -------------------
+
+
+def _stream(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """An adapter over the events as a stream. Its SQL must not aggregate."""
+    schema = A.table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    text = sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    return spark.sql(text, events=events)
+
+
+def _with_ends(spark: SparkSession, folder: str, rows: DataFrame, parts: int = 3) -> DataFrame:
+    """Lines as a stream of several files in event order, and an end row per run in the last one."""
+    source = scratch_path(spark, "source")
+    ends = rows.groupBy("run_id").agg(*(F.first(c).alias(c) for c in rows.columns if c not in ("run_id", "line_no")))
+    ends = ends.withColumn("line_no", F.lit(1 << 40).cast("bigint")).withColumn("is_end", F.lit(True))
+    span = rows.agg(F.min("line_no").alias("low"), F.max("line_no").alias("high"))
+    cut = rows.crossJoin(F.broadcast(span)).withColumn(
+        "part", F.least(F.lit(parts - 1), F.floor((F.col("line_no") - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
+    ).drop("low", "high").withColumn("is_end", F.lit(False))
+    for part in range(parts):
+        chosen = cut.where(F.col("part") == part).drop("part")
+        if part == parts - 1:
+            chosen = chosen.unionByName(ends)
+        chosen.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(chosen.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _finish(stream_query) -> None:
+    stream_query.awaitTermination()
+    if stream_query.exception():
+        raise stream_query.exception()
+
+
+def _paths(spark: SparkSession, name: str) -> tuple[str, str, str]:
+    root = scratch_path(spark, name)
+    return f"{root}/state", f"{root}/out", f"{root}/checkpoint"
+
+
+_STRIP_SOURCE = f"""SELECT l.*, CASE run_id % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'git' WHEN 2 THEN 'cargo' WHEN 3 THEN 'npm'
+  WHEN 4 THEN 'make' ELSE 'tool' END AS command, 'target ' || CAST(run_id % 3 AS STRING) AS args FROM ({A.USER_LINES}) l"""
+_STRIP_TEXT = f"""CASE WHEN rule = 0 THEN regexp_replace(text, {O.q(T.CSI)}, '', 'g')
+  WHEN rule = 1 THEN regexp_replace(regexp_replace(text, '(\\d+)', '<\\1>', 'g'), '<', '#', 'g') ELSE text END"""
+_STRIPPED = f"""SELECT run_id, line_no, CASE WHEN rule = 0 THEN left(text, 12) ELSE text END AS text FROM (
+  SELECT run_id, line_no, rule, {_STRIP_TEXT} AS text FROM (SELECT *, {O.rule_choice(A.RULES)} AS rule FROM ({_STRIP_SOURCE}) s) r) x
+  WHERE CASE WHEN rule = 0 THEN NOT {O.any_regex('text', A.RULES[0].strip_lines)} WHEN rule = 2 THEN NOT {O.any_regex('text', A.RULES[2].strip_lines)} ELSE true END
+    AND CASE WHEN rule = 1 THEN {O.any_regex('text', A.RULES[1].keep_lines)} ELSE true END"""
+
+
+@query(_STRIPPED, "stream_strip")
+def _stream_strip(spark: SparkSession, folder: str) -> DataFrame:
+    _, out, checkpoint = _paths(spark, "strip")
+    stripped = streams.stream_strip(_stream(spark, folder, _STRIP_SOURCE), A.RULES).select("run_id", "line_no", "text")
+    writer = stripped.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    _finish(writer.trigger(availableNow=True).start(out))
+    return spark.read.schema("run_id BIGINT, line_no BIGINT, text STRING").parquet(out)
+
+
+@query(_STRIPPED, "stream_rule_refresh")
+def _stream_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    _, out, checkpoint = _paths(spark, "refresh")
+    where = scratch_path(spark, "rules")
+    spark.createDataFrame([(A.RULES_TOML,)], "value STRING").coalesce(1).write.text(where)
+    source = _stream(spark, folder, _STRIP_SOURCE).select("run_id", "line_no", "text", "command", "args")
+    _finish(streams.stream_rule_refresh(source, f"{where}/part-*", out, checkpoint))
+    return spark.read.parquet(out).select("run_id", "line_no", "text")
+
+
+def _stream_plain(spark: SparkSession, folder: str, blanks: bool) -> DataFrame:
+    state, out, checkpoint = _paths(spark, "compact")
+    commands = _user_runs(spark, folder).select("run_id", "command")
+    lines = attach(chunked(_user_lines(spark, folder)), commands).select("run_id", "line_no", "text", "command")
+    rules_used = () if blanks else A.PROJECT_RULES
+    source = _with_ends(spark, folder, lines)
+    _finish(streams.stream_compact(source, state, out, checkpoint, rules_used, blanks))
+    return _rows(spark.read.parquet(out))
+
+
+@query(O.compact_plain_sql(O.PLAIN_LINES), "stream_compact")
+def _stream_compact(spark: SparkSession, folder: str) -> DataFrame:
+    return _stream_plain(spark, folder, False)
+
+
+@query(O.compact_plain_sql(f"SELECT * FROM ({O.USER_PROFILED}) x"), "stream_compact_with_blanks")
+def _stream_compact_blanks(spark: SparkSession, folder: str) -> DataFrame:
+    return _stream_plain(spark, folder, True)
+
+
+@query(O.TEST_SUMMARY, "stream_test_summary")
+def _stream_tests(spark: SparkSession, folder: str) -> DataFrame:
+    state, out, checkpoint = _paths(spark, "tests")
+    source = _with_ends(spark, folder, A.adapted(spark, folder, A.USER_TESTS))
+    _finish(streams.stream_test_summary(source, state, out, checkpoint))
+    return _placed(spark.read.parquet(out))
+
+
+@query(O.TAP_SUMMARY, "stream_tap_summary")
+def _stream_tap(spark: SparkSession, folder: str) -> DataFrame:
+    state, out, checkpoint = _paths(spark, "tap")
+    source = _with_ends(spark, folder, A.adapted(spark, folder, A.USER_TAP))
+    _finish(streams.stream_tap_summary(source, state, out, checkpoint))
+    return _placed(spark.read.parquet(out))
+
+
+def _in_time_order(spark: SparkSession, rows: DataFrame, parts: int = 3) -> DataFrame:
+    """A table with ``ts`` as a stream of several files, one after the other in time."""
+    source = scratch_path(spark, "source")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = rows.agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    cut = rows.crossJoin(F.broadcast(span)).withColumn("part", F.floor((at - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
+    for part in range(parts):
+        cut.where(F.col("part") == part).drop("part", "low", "high").coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query(O.loop_sql(A.EVENT_RUNS), "stream_loop_guard")
+def _stream_loops(spark: SparkSession, folder: str) -> DataFrame:
+    state, out, checkpoint = _paths(spark, "loops")
+    source = _in_time_order(spark, A.adapted(spark, folder, A.EVENT_RUNS))
+    _finish(history_streams.stream_loop_guard(source, state, out, checkpoint))
+    return spark.read.parquet(out).select("key", "run_id", "count", "loop")
+
+
+@query(O.BY_COMMAND, "stream_savings")
+def _stream_savings(spark: SparkSession, folder: str) -> DataFrame:
+    state, out, checkpoint = _paths(spark, "savings")
+    source = _in_time_order(spark, A.adapted(spark, folder, A.EVENT_HISTORY))
+    _finish(history_streams.stream_savings(source, state, out, checkpoint))
+    return history_streams.latest_totals(spark, state)
