@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logcompact import sinks
@@ -12,6 +12,7 @@ from logcompact.functions import commands as C
 from logcompact.functions import profiles as P
 from logcompact.functions import registry as G
 from logcompact.functions import text as T
+from logcompact.functions import tokens as K
 from logcompact.operators import blocks, caps, loops, reports, rules, savings
 from logcompact.operators.commands import classify_commands, registry_coverage
 from logcompact.operators.ordered import attach, chunked
@@ -19,7 +20,7 @@ from logcompact.plans import adapters as A
 from logcompact.plans import oracles as O
 from logcompact.plans.compact import compact, compact_plain, first_lines, route_runs
 from logcompact.session import scratch_path
-from logcompact.sources.control import merge_rules, rules_table
+from logcompact.sources.control import Rule, merge_rules, rules_table
 from logcompact.sources.history import defaults, read_history
 from logcompact.sources.lines import read_log_lines
 from logcompact.streaming import history as history_streams
@@ -632,21 +633,25 @@ def _stream(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     return spark.sql(text, events=events)
 
 
-def _with_ends(spark: SparkSession, folder: str, rows: DataFrame, parts: int = 3) -> DataFrame:
-    """Lines as a stream of several files in event order, and an end row per run in the last one."""
-    source = scratch_path(spark, "source")
-    ends = rows.groupBy("run_id").agg(*(F.first(c).alias(c) for c in rows.columns if c not in ("run_id", "line_no")))
-    ends = ends.withColumn("line_no", F.lit(1 << 40).cast("bigint")).withColumn("is_end", F.lit(True))
-    span = rows.agg(F.min("line_no").alias("low"), F.max("line_no").alias("high"))
-    cut = rows.crossJoin(F.broadcast(span)).withColumn(
-        "part", F.least(F.lit(parts - 1), F.floor((F.col("line_no") - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
-    ).drop("low", "high").withColumn("is_end", F.lit(False))
-    for part in range(parts):
-        chosen = cut.where(F.col("part") == part).drop("part")
-        if part == parts - 1:
-            chosen = chosen.unionByName(ends)
-        chosen.coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(chosen.schema).option("maxFilesPerTrigger", 1).parquet(source)
+def _in_parts(rows: DataFrame, at: Column, parts: int = 3) -> list[DataFrame]:
+    """Cut a table in a few parts by the range of a number."""
+    span = rows.agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    part = F.floor((at - F.col("_low")) * parts / (F.col("_high") - F.col("_low") + 1))
+    cut = rows.crossJoin(F.broadcast(span)).withColumn("_part", part)
+    return [cut.where(F.col("_part") == n).drop("_part", "_low", "_high") for n in range(parts)]
+
+
+def _feed(
+    spark: SparkSession, name: str, parts: list[DataFrame], begin: Callable[[DataFrame, str, str, str], object]
+) -> tuple[str, str]:
+    """Let parts of a table arrive one after the other; each start goes on from the checkpoint."""
+    root = scratch_path(spark, name)
+    source, state, out = f"{root}/source", f"{root}/state", f"{root}/out"
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        _finish(begin(stream, state, out, f"{root}/checkpoint"))
+    return state, out
 
 
 def _finish(stream_query) -> None:
@@ -655,9 +660,16 @@ def _finish(stream_query) -> None:
         raise stream_query.exception()
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str, str]:
-    root = scratch_path(spark, name)
-    return f"{root}/state", f"{root}/out", f"{root}/checkpoint"
+def _line_parts(rows: DataFrame) -> list[DataFrame]:
+    """Lines in three parts by line number, with a row that ends each run in the last part."""
+    runs = [F.first(c).alias(c) for c in rows.columns if c not in ("run_id", "line_no")]
+    ends = rows.groupBy("run_id").agg(*runs).withColumn("line_no", F.lit(1 << 40).cast("bigint"))
+    parts = [part.withColumn("is_end", F.lit(False)) for part in _in_parts(rows, F.col("line_no"))]
+    return [*parts[:-1], parts[-1].unionByName(ends.withColumn("is_end", F.lit(True)))]
+
+
+def _time_parts(rows: DataFrame) -> list[DataFrame]:
+    return _in_parts(rows, F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 _STRIP_SOURCE = f"""SELECT l.*, CASE run_id % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'git' WHEN 2 THEN 'cargo' WHEN 3 THEN 'npm'
@@ -672,30 +684,30 @@ _STRIPPED = f"""SELECT run_id, line_no, CASE WHEN rule = 0 THEN left(text, 12) E
 
 @query(_STRIPPED, "stream_strip")
 def _stream_strip(spark: SparkSession, folder: str) -> DataFrame:
-    _, out, checkpoint = _paths(spark, "strip")
+    root = scratch_path(spark, "strip")
     stripped = streams.stream_strip(_stream(spark, folder, _STRIP_SOURCE), A.RULES).select("run_id", "line_no", "text")
-    writer = stripped.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    _finish(writer.trigger(availableNow=True).start(out))
-    return spark.read.schema("run_id BIGINT, line_no BIGINT, text STRING").parquet(out)
+    writer = stripped.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    _finish(writer.trigger(availableNow=True).start(f"{root}/out"))
+    return spark.read.schema("run_id BIGINT, line_no BIGINT, text STRING").parquet(f"{root}/out")
 
 
 @query(_STRIPPED, "stream_rule_refresh")
 def _stream_refresh(spark: SparkSession, folder: str) -> DataFrame:
-    _, out, checkpoint = _paths(spark, "refresh")
-    where = scratch_path(spark, "rules")
-    spark.createDataFrame([(A.RULES_TOML,)], "value STRING").coalesce(1).write.text(where)
+    root = scratch_path(spark, "refresh")
+    spark.createDataFrame([(A.RULES_TOML,)], "value STRING").coalesce(1).write.text(f"{root}/rules")
     source = _stream(spark, folder, _STRIP_SOURCE).select("run_id", "line_no", "text", "command", "args")
-    _finish(streams.stream_rule_refresh(source, f"{where}/part-*", out, checkpoint))
-    return spark.read.parquet(out).select("run_id", "line_no", "text")
+    _finish(streams.stream_rule_refresh(source, f"{root}/rules/part-*", f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out").select("run_id", "line_no", "text")
 
 
 def _stream_plain(spark: SparkSession, folder: str, blanks: bool) -> DataFrame:
-    state, out, checkpoint = _paths(spark, "compact")
     commands = _user_runs(spark, folder).select("run_id", "command")
     lines = attach(chunked(_user_lines(spark, folder)), commands).select("run_id", "line_no", "text", "command")
     rules_used = () if blanks else A.PROJECT_RULES
-    source = _with_ends(spark, folder, lines)
-    _finish(streams.stream_compact(source, state, out, checkpoint, rules_used, blanks))
+    _, out = _feed(
+        spark, "compact", _line_parts(lines),
+        lambda stream, *places: streams.stream_compact(stream, *places, rules_used, blanks),
+    )
     return _rows(spark.read.parquet(out))
 
 
@@ -711,42 +723,59 @@ def _stream_compact_blanks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(O.TEST_SUMMARY, "stream_test_summary")
 def _stream_tests(spark: SparkSession, folder: str) -> DataFrame:
-    state, out, checkpoint = _paths(spark, "tests")
-    source = _with_ends(spark, folder, A.adapted(spark, folder, A.USER_TESTS))
-    _finish(streams.stream_test_summary(source, state, out, checkpoint))
-    return _placed(spark.read.parquet(out))
+    parts = _line_parts(A.adapted(spark, folder, A.USER_TESTS))
+    return _placed(spark.read.parquet(_feed(spark, "tests", parts, streams.stream_test_summary)[1]))
 
 
 @query(O.TAP_SUMMARY, "stream_tap_summary")
 def _stream_tap(spark: SparkSession, folder: str) -> DataFrame:
-    state, out, checkpoint = _paths(spark, "tap")
-    source = _with_ends(spark, folder, A.adapted(spark, folder, A.USER_TAP))
-    _finish(streams.stream_tap_summary(source, state, out, checkpoint))
-    return _placed(spark.read.parquet(out))
-
-
-def _in_time_order(spark: SparkSession, rows: DataFrame, parts: int = 3) -> DataFrame:
-    """A table with ``ts`` as a stream of several files, one after the other in time."""
-    source = scratch_path(spark, "source")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = rows.agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    cut = rows.crossJoin(F.broadcast(span)).withColumn("part", F.floor((at - F.col("low")) * parts / (F.col("high") - F.col("low") + 1)))
-    for part in range(parts):
-        cut.where(F.col("part") == part).drop("part", "low", "high").coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    parts = _line_parts(A.adapted(spark, folder, A.USER_TAP))
+    return _placed(spark.read.parquet(_feed(spark, "tap", parts, streams.stream_tap_summary)[1]))
 
 
 @query(O.loop_sql(A.EVENT_RUNS), "stream_loop_guard")
 def _stream_loops(spark: SparkSession, folder: str) -> DataFrame:
-    state, out, checkpoint = _paths(spark, "loops")
-    source = _in_time_order(spark, A.adapted(spark, folder, A.EVENT_RUNS))
-    _finish(history_streams.stream_loop_guard(source, state, out, checkpoint))
+    parts = _time_parts(A.adapted(spark, folder, A.EVENT_RUNS))
+    _, out = _feed(spark, "loops", parts, history_streams.stream_loop_guard)
     return spark.read.parquet(out).select("key", "run_id", "count", "loop")
 
 
 @query(O.BY_COMMAND, "stream_savings")
 def _stream_savings(spark: SparkSession, folder: str) -> DataFrame:
-    state, out, checkpoint = _paths(spark, "savings")
-    source = _in_time_order(spark, A.adapted(spark, folder, A.EVENT_HISTORY))
-    _finish(history_streams.stream_savings(source, state, out, checkpoint))
+    parts = _time_parts(A.adapted(spark, folder, A.EVENT_HISTORY))
+    state, _ = _feed(spark, "savings", parts, history_streams.stream_savings)
     return history_streams.latest_totals(spark, state)
+
+
+# --- extension points ------------------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CAST(strlen(text) - (strlen(text) - strlen(replace(text, 'th', ''))) // 2 AS BIGINT) AS tokens,
+    CAST(strlen(text) // 4 AS BIGINT) AS estimate FROM documents"""
+)
+def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """A vocabulary of all bytes and one pair, whose counts can be told without merging."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"th": 256}
+    shared = spark.sparkContext.broadcast(ranks)
+    return A.table(spark, folder, "documents").select(
+        "doc_id",
+        K.count_tokens(F.col("text"), shared).alias("tokens"),
+        K.count_tokens(F.col("text")).alias("estimate"),
+    )
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS name, doc_id % 3 <> 1 AS passed, string_split(text, chr(10))[1] AS actual
+    FROM documents"""
+)
+def check_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as rule tests of a rule that keeps one line; a third of them expect another line."""
+    tests = A.table(spark, folder, "documents").select(
+        F.lit("first-line").alias("rule"),
+        F.col("doc_id").cast("string").alias("name"),
+        F.col("text").alias("input"),
+        F.when(F.col("doc_id") % 3 == 1, "another").otherwise(F.split("text", "\n")[0]).alias("expected"),
+    )
+    found = rules.check_rules([Rule("first-line", max_lines=1)], tests)
+    return found.select("name", "passed", "actual")
