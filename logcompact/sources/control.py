@@ -135,13 +135,11 @@ def read_rules(spark: SparkSession, path: str) -> RuleFile:
 
 
 def builtin_rules() -> RuleFile:
-    """The rules that come with the package."""
+    """The rules that come with the package, in name order."""
     folder = Path(__file__).parent.parent / "data" / "rules"
     files = [parse_rules(f.read_text("utf-8"), f.name) for f in sorted(folder.glob("*.toml"))]
-    return RuleFile(
-        tuple(rule for file in files for rule in file.rules),
-        tuple(test for file in files for test in file.tests),
-    )
+    rules = sorted((rule for file in files for rule in file.rules), key=lambda rule: rule.name)
+    return RuleFile(tuple(rules), tuple(test for file in files for test in file.tests))
 
 
 def merge_rules(*sources: Iterable[Rule]) -> tuple[Rule, ...]:
