@@ -19,6 +19,8 @@ WHITE_SPACE = (
 CSI = r"\x1b\[[0-9;]*[a-zA-Z]"
 OSC = r"\x1b\][^\x07]*\x07"
 NUMBER = r"\b\d+(\.\d+)?\b"
+# The same with its word edges, which always lie at a digit, written as one look each.
+NUMBER_AT_EDGES = r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?(?![A-Za-z0-9_])"
 FILE_REF = r"^([^:\s][^:\n]*?)(?::(\d+)|\((\d+),\d+\))[:\s]"
 
 
@@ -35,7 +37,7 @@ def strip_ansi(col: Column, osc: bool = True) -> Column:
 
 def normalize_numbers(col: Column) -> Column:
     """Replace every whole-word number by ``N``; ``30ms`` is one word and stays."""
-    return F.regexp_replace(col, to_java(NUMBER), "N")
+    return F.regexp_replace(col, NUMBER_AT_EDGES, "N")
 
 
 def replace_chain(col: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -67,27 +67,26 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def place_lines(lines: DataFrame) -> DataFrame:
-    """Tell for every classified, chunked line whether it is collected or inside an error block.
-
-    Adds ``_collected``, ``_in_block``, ``_block_head`` (first line of a block), ``_block`` (number
-    of the closing line before the block; one value per block), ``_closes`` (second of two blank
-    lines) and ``_gap`` (number of the last line that was no success).
-    """
+def _locally(lines: DataFrame) -> DataFrame:
+    """What a chunk alone tells about its classified lines."""
     inner = within_chunk(["run_id"], ["line_no"])
-    outer = across_chunks(["run_id"])
     lines = with_exprs(
         lines,
         _c_seen=f"max(IF(NOT _success, line_no, NULL)) OVER ({inner} {SO_FAR})",
         _hit=f"max(IF(_success AND NOT _noise AND NOT _error, line_no, NULL)) OVER ({inner} {SO_FAR})",
         _after=f"lag(_blank) OVER ({inner})",
     )
-    lines = with_exprs(
+    return with_exprs(
         lines,
         # A leading success line without a countable one depends on the chunks before.
         _hangs="_success AND _c_seen IS NULL AND _hit IS NULL",
         _known=f"_success AND coalesce(_hit > coalesce(_c_seen, {NOWHERE}), false)",
     )
+
+
+def _carried(lines: DataFrame) -> DataFrame:
+    """What the chunks before each chunk tell: one row per chunk."""
+    outer = across_chunks(["run_id"])
     opens = "_error AND NOT _noise AND NOT _known"
     parts = lines.groupBy("run_id", CHUNK).agg(
         F.expr("max(_c_seen) AS _seen"),
@@ -106,14 +105,25 @@ def place_lines(lines: DataFrame) -> DataFrame:
         _p_blank=f"coalesce(lag(_last_blank) OVER ({outer}), false)",
     )
     carry = with_exprs(carry, _p_held="coalesce(_p_hit > _p_seen, false)")
-    carry = with_exprs(
+    return with_exprs(
         carry,
         _p_opened=f"max(IF(_p_held, _opened_held, _opened_free)) OVER ({outer} {BEFORE})",
         _p_closed="max(coalesce(_closed, IF(_first_blank AND _p_blank, _first, NULL))) "
         f"OVER ({outer} {BEFORE})",
     ).select("run_id", CHUNK, "_p_seen", "_p_blank", "_p_held", "_p_opened", "_p_closed")
 
-    lines = lines.join(staged(carry, "places"), ["run_id", CHUNK])
+
+def place_lines(flags: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Tell for every classified, chunked line whether it is collected or inside an error block.
+
+    Adds ``_collected``, ``_in_block``, ``_block_head`` (first line of a block), ``_block`` (number
+    of the closing line before the block; one value per block), ``_closes`` (second of two blank
+    lines) and ``_gap`` (number of the last line that was no success). ``lines`` may hold the same
+    lines in another layout: the first pass then moves only the flags of ``flags``.
+    """
+    carry = staged(_carried(_locally(flags)), "places")
+    lines = _locally(flags if lines is None else lines).join(carry, ["run_id", CHUNK])
+    inner = within_chunk(["run_id"], ["line_no"])
     lines = with_exprs(
         lines,
         _collected="_known OR (_hangs AND _p_held)",
@@ -138,6 +148,16 @@ def place_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def classify_and_place(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+    """``place_lines`` over raw lines (run_id, line_no, text, profile).
+
+    The first pass classifies where the lines are read and moves flags only; the second moves each
+    line's text once and classifies it where its chunk is.
+    """
+    lines = chunked(lines, "line_no", size)
+    return place_lines(classify_lines(lines), classify_lines(lines.repartition("run_id", CHUNK)))
+
+
 def parted(previous: str, current: str) -> str:
     return f"NOT coalesce({previous} = {current}, false)"
 
@@ -284,7 +304,7 @@ def compact_lines(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
     ``lines`` has run_id, line_no, text and profile. Returns (run_id, pos, kind, n, sample, text).
     """
-    placed = place_lines(classify_lines(chunked(lines, "line_no", size)))
+    placed = classify_and_place(lines, size)
     # Classifying is the costly part and three steps follow, so its result is written once.
     placed = staged(placed.select(*PLACED), "placed")
     folded = fold_lines(placed)
@@ -294,7 +314,7 @@ def compact_lines(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
 def error_blocks(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """The lines inside error blocks, with the block they belong to."""
-    placed = place_lines(classify_lines(chunked(lines, "line_no", size)))
+    placed = classify_and_place(lines, size)
     return placed.where("_in_block").select(
         "run_id", "line_no", "text", F.col("_block").alias("block_id"), CHUNK
     )
@@ -308,7 +328,7 @@ def group_errors_by_file(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
 def collapse_success(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """One row for each run of success lines that lies outside error blocks."""
-    placed = place_lines(classify_lines(chunked(lines, "line_no", size)))
+    placed = classify_and_place(lines, size)
     return fold_lines(placed).where("kind = 'ok'")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logcompact.functions.commands import command_key, is_excluded, is_security
-from logcompact.operators.ordered import CHUNK, streaks
+from logcompact.operators.ordered import CHUNK, running, streaks
 
 # Runs at most this far apart belong together; the third one is flagged.
 GAP_SECONDS = 300
@@ -17,20 +17,14 @@ THRESHOLD = 3
 BUCKET_SECONDS = 3600
 
 
-def loop_guard(
+def _series(
     runs: DataFrame,
-    gap_seconds: int = GAP_SECONDS,
-    threshold: int = THRESHOLD,
-    excluded: tuple[str, ...] = (),
-    bucket_seconds: int = BUCKET_SECONDS,
+    gap_seconds: int,
+    excluded: tuple[str, ...],
+    bucket_seconds: int,
     seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Count each run within its series of equal commands.
-
-    Returns ``key, run_id, ts, count, loop``. A series ends when more than ``gap_seconds`` pass
-    without the command. Runs that are bypassed for their command (security, excluded) do not
-    count and are left out. ``seed`` (key, n, ts) continues series that began earlier.
-    """
+    """Runs that count, numbered within their series."""
     counted = runs.where(
         ~is_security(F.col("command"), F.col("args")) & ~is_excluded(F.col("command"), excluded)
     ).select(
@@ -43,7 +37,7 @@ def loop_guard(
     gap = int(gap_seconds * 1_000_000)
     if seed is not None:
         seed = seed.select("key", "n", F.unix_micros(F.col("ts").cast("timestamp")).alias("value"))
-    seen = streaks(
+    return streaks(
         counted,
         ["key"],
         ["_at", "run_id"],
@@ -51,23 +45,48 @@ def loop_guard(
         lambda before, now: f"({now} - {before} > {gap})",
         seed,
     )
+
+
+def loop_guard(
+    runs: DataFrame,
+    gap_seconds: int = GAP_SECONDS,
+    threshold: int = THRESHOLD,
+    excluded: tuple[str, ...] = (),
+    bucket_seconds: int = BUCKET_SECONDS,
+    seed: DataFrame | None = None,
+) -> DataFrame:
+    """Count each run within its series of equal commands.
+
+    Returns ``key, run_id, ts, count, loop``. A series ends when more than ``gap_seconds`` pass
+    without the command. Runs that are bypassed for their command (security, excluded) do not
+    count and are left out. ``seed`` (key, n, ts) continues series that began earlier.
+    """
+    seen = _series(runs, gap_seconds, excluded, bucket_seconds, seed)
     return seen.select(
         "key", "run_id", "ts", F.col("_s_n").alias("count"), (F.col("_s_n") >= threshold).alias("loop")
     )
 
 
-def loop_sessions(runs: DataFrame, gap: str = "5 minutes", excluded: tuple[str, ...] = ()) -> DataFrame:
+def loop_sessions(
+    runs: DataFrame,
+    gap_seconds: int = GAP_SECONDS,
+    excluded: tuple[str, ...] = (),
+    bucket_seconds: int = BUCKET_SECONDS,
+) -> DataFrame:
     """Totals per series of equal commands: (key, start, last_ts, runs).
 
-    Session windows merge partial sessions before the shuffle, so hot commands send few rows.
+    Built on the numbered runs rather than on session windows, which would bring all runs of one
+    command into one task.
     """
-    counted = runs.where(
-        ~is_security(F.col("command"), F.col("args")) & ~is_excluded(F.col("command"), excluded)
-    ).select(
-        command_key(F.col("command"), F.col("args")).alias("key"), F.col("ts").cast("timestamp").alias("ts")
+    seen = _series(runs, gap_seconds, excluded, bucket_seconds)
+    seen = running(
+        seen, ["key"], ["_at", "run_id"], "max", "IF(_s_n = 1, _at, NULL)", "_began"
     )
-    return (
-        counted.groupBy("key", F.session_window("ts", gap))
-        .agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("runs"))
-        .select("key", F.col("session_window.start").alias("start"), "last_ts", "runs")
+    gap = int(gap_seconds * 1_000_000)
+    ends = seen.where(f"NOT _s_has_next OR _s_next - _at > {gap}")
+    return ends.selectExpr(
+        "key",
+        "timestamp_micros(IF(_s_n = 1, _at, _began)) AS start",
+        "timestamp_micros(_at) AS last_ts",
+        "_s_n AS runs",
     )

@@ -166,11 +166,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use every core for an input of a few small files; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def adapted(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run an adapter's SQL over the events of a folder."""
     text = sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
-    return spark.sql(text, events=table(spark, folder, "events"))
+    return spark.sql(text, events=spread(table(spark, folder, "events"), "event_id"))
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return split_lines(table(spark, folder, "documents"), "doc_id", "text")
+    return split_lines(spread(table(spark, folder, "documents"), "doc_id"), "doc_id", "text")

@@ -635,10 +635,9 @@ def _stream(spark: SparkSession, folder: str, sql: str) -> DataFrame:
 
 def _in_parts(rows: DataFrame, at: Column, parts: int = 3) -> list[DataFrame]:
     """Cut a table in a few parts by the range of a number."""
-    span = rows.agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
-    part = F.floor((at - F.col("_low")) * parts / (F.col("_high") - F.col("_low") + 1))
-    cut = rows.crossJoin(F.broadcast(span)).withColumn("_part", part)
-    return [cut.where(F.col("_part") == n).drop("_part", "_low", "_high") for n in range(parts)]
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - low) * parts / (high - low + 1))
+    return [rows.where(part == n) for n in range(parts)]
 
 
 def _feed(

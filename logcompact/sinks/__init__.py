@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logcompact import schemas
-from logcompact.functions.text import trim_space
 from logcompact.operators.ordered import attach, chunked
 from logcompact.operators.savings import Summary
 
@@ -70,12 +69,10 @@ def savings_report(summary: Summary) -> DataFrame:
         ("Mean saving", F.format_string("%.1f%%", "avg_savings_pct")),
     ]
     lines = F.array(*(F.concat(F.lit(f"{name}: "), value) for name, value in facts))
-    totals = total.select(F.posexplode(lines).alias("ord", "text")).select(
+    totals = total.where("total_runs > 0").select(F.posexplode(lines).alias("ord", "text")).select(
         F.lit(1).alias("section"), (F.col("ord") + 1).cast("bigint").alias("ord"), "text"
     )
     rank = F.row_number().over
-    from pyspark.sql import Window
-
     top = summary.top.select(
         F.lit(2).alias("section"),
         rank(Window.orderBy(F.desc("total_saved"), "cmd")).cast("bigint").alias("ord"),
@@ -111,11 +108,9 @@ def savings_report(summary: Summary) -> DataFrame:
     none = total.where("total_runs = 0").select(
         F.lit(0).alias("section"), F.lit(1).cast("bigint").alias("ord"), F.lit("no runs recorded").alias("text")
     )
-    shown = totals.crossJoin(F.broadcast(total.select("total_runs"))).where("total_runs > 0").drop("total_runs")
-    return none.unionByName(shown).unionByName(top).unionByName(last)
+    return none.unionByName(totals).unionByName(top).unionByName(last)
 
 
 __all__ = [
-    "failed_run_lines", "retain_raw", "savings_report", "shorten", "trim_space",
-    "write_history", "write_raw",
+    "failed_run_lines", "retain_raw", "savings_report", "shorten", "write_history", "write_raw",
 ]

@@ -41,10 +41,9 @@ def stream_loop_guard(
             F.max("ts").cast("timestamp").alias("ts"),
         )
         kept = last.unionByName(before.join(last, "key", "left_anti"))
-        newest = batch.agg(F.max(F.col("ts").cast("timestamp")).alias("newest"))
-        live = kept.crossJoin(F.broadcast(newest)).where(
-            f"newest IS NULL OR ts >= newest - INTERVAL {int(gap_seconds)} SECONDS"
-        )
+        newest = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+        oldest = F.lit(newest) - F.expr(f"INTERVAL {int(gap_seconds)} SECONDS")
+        live = kept if newest is None else kept.where(F.col("ts") >= oldest)
         series.write(live, batch_id)
 
     return start(runs, step, checkpoint, **trigger)
@@ -52,7 +51,7 @@ def stream_loop_guard(
 
 TOTALS = (
     "cmd STRING, runs BIGINT, total_saved BIGINT, sum_pct DOUBLE, active BIGINT, active_pct DOUBLE, "
-    "sum_exec_ms BIGINT, all_exact BOOLEAN"
+    "sum_exec_ms BIGINT, all_exact BOOLEAN, batch_id BIGINT"
 )
 
 
@@ -78,24 +77,24 @@ def stream_savings(
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = staged(batch, "history")
         write_batch(batch, out, batch_id)
-        parts = totals.before(batch.sparkSession, batch_id).unionByName(_partial(batch))
+        parts = totals.before(batch.sparkSession, batch_id).unionByName(
+            _partial(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        )
         sums = [
             F.sum(name).alias(name)
             for name in ("runs", "total_saved", "sum_pct", "active", "active_pct", "sum_exec_ms")
         ]
         merged = parts.groupBy("cmd").agg(*sums, F.bool_and("all_exact").alias("all_exact"))
-        # The slot just written holds the totals up to this batch.
-        totals.write(merged, batch_id)
-        write_batch(staged(merged, "totals"), f"{state}/latest", batch_id)
+        totals.write(merged.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     return start(history, step, checkpoint, **trigger)
 
 
 def latest_totals(spark, state: str) -> DataFrame:
     """Running totals per command after the last finished batch."""
-    tables = spark.read.parquet(f"{state}/latest")
-    last = tables.agg(F.max("batch_id").alias("batch_id"))
-    return tables.join(F.broadcast(last), "batch_id").select(
+    slots = spark.read.schema(TOTALS).parquet(f"{state}/totals/slot=*")
+    last = slots.agg(F.max("batch_id")).first()[0]
+    return slots.where(F.col("batch_id") == F.lit(last)).select(
         "cmd",
         "runs",
         "total_saved",

@@ -11,11 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from logcompact.functions.profiles import PROFILE_OF
 from logcompact.operators.blocks import (
     PLACED,
-    classify_lines,
+    classify_and_place,
     fold_lines,
     fold_streaks,
     group_block_lines,
-    place_lines,
     settled_before,
 )
 from logcompact.operators.caps import (
@@ -110,7 +109,7 @@ def stream_compact(
         fresh = apply_project_rules(fresh, project_rules)
         work = pending.before(spark, batch_id).unionByName(fresh)
 
-        placed = place_lines(classify_lines(chunked(work, "line_no", size)))
+        placed = classify_and_place(work, size)
         placed = staged(placed.select(*PLACED, "profile"), "placed")
         seen = staged(fold_streaks(placed), "seen")
         cuts = settled_before(placed, seen).join(
