@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from logcompact.operators.rules import (
     match_rule,
 )
 from logcompact.operators.savings import run_savings
-from logcompact.session import staged
+from logcompact.session import scratch_path, staged
 from logcompact.sources.control import ProjectRule, Rule
 
 
@@ -97,7 +98,7 @@ def route_runs(
 
 
 class Compacted(NamedTuple):
-    """``lines``: (run_id, place, branch, text), sorted by place in each run; ``history`` has run_id."""
+    """``lines``: (run_id, place, text), ordered by place in each run; ``history`` has run_id."""
 
     lines: DataFrame
     history: DataFrame
@@ -116,6 +117,8 @@ def compact(
 ) -> Compacted:
     """Compact every run by the branch it takes, and record what that saved."""
     routes = staged(route_runs(runs, lines, rules, excluded), "routes")
+    # At most six names; a branch that no run takes is left out of the plan.
+    branches = {row["branch"] for row in routes.select("branch").distinct().collect()}
     facts = runs.select("run_id", "command").join(routes, "run_id")
     # One copy of the lines with their branch, laid out by branch: each branch reads only its own.
     lined = attach(chunked(lines.select("run_id", "line_no", "text"), "line_no", size), routes.select("run_id", "branch"))
@@ -126,40 +129,44 @@ def compact(
         chosen = facts.where(F.col("branch") == branch)
         return chosen, routed.where(F.col("branch") == branch).drop("branch")
 
-    plain_runs, plain = taken("plain")
-    profiles = attach_profile(plain_runs.select("run_id", "command")).select("run_id", "profile")
-    plain = apply_project_rules(drop_blank(plain), project_rules)
-    folded = compact_lines(attach(chunked(plain, "line_no", size), profiles).drop(CHUNK), size)
-    # Bypassed runs skip the filters, yet their listings, hits and frames are capped all the same.
-    bypass = taken("bypass")[1].select("run_id", (F.col("line_no") * 2).alias("pos"), "text")
-    through = F.lit("plain").alias("branch")
-    capped_in = staged(
-        folded.select("run_id", "pos", "text", through).unionByName(
-            bypass.withColumn("branch", F.lit("bypass"))
-        ),
-        "folded",
-    )
-    capped = cap_rows(capped_in, max_stack, max_grep, 2 * size)
-    ruled_runs, ruled = taken("rule")
-    parts = [capped.select("run_id", place("pos"), "text")]
-    if rules:
+    through = []
+    if "plain" in branches:
+        plain_runs, plain = taken("plain")
+        profiles = attach_profile(plain_runs.select("run_id", "command")).select("run_id", "profile")
+        plain = apply_project_rules(drop_blank(plain), project_rules)
+        profiled = attach(chunked(plain, "line_no", size), profiles).drop(CHUNK)
+        through.append(compact_lines(profiled, size).select("run_id", "pos", "text"))
+    if "bypass" in branches:
+        # Bypassed runs skip the filters, yet their listings, hits and frames are capped all the same.
+        bypass = taken("bypass")[1]
+        through.append(bypass.select("run_id", (F.col("line_no") * 2).alias("pos"), "text"))
+    parts = []
+    if through:
+        capped = cap_rows(staged(_union(through), "folded"), max_stack, max_grep, 2 * size)
+        parts.append(capped.select("run_id", place("pos"), "text"))
+    if "rule" in branches:
+        ruled_runs, ruled = taken("rule")
         by_rules = apply_rules(ruled_runs.select("run_id", "rule"), ruled, rules, size, max_bytes)
         parts.append(by_rules.select("run_id", place("pos"), "text"))
-    parts.append(summarize_test_events(taken("ndjson")[1], size))
-    parts.append(summarize_tap(taken("tap")[1], size))
-    parts.append(summarize_junit(taken("junit")[1], max_bytes))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = staged(out, "compacted")
+    if "ndjson" in branches:
+        parts.append(summarize_test_events(taken("ndjson")[1], size))
+    if "tap" in branches:
+        parts.append(summarize_tap(taken("tap")[1], size))
+    if "junit" in branches:
+        parts.append(summarize_junit(taken("junit")[1], max_bytes))
+    if not parts:
+        parts.append(routed.where("false").select("run_id", place("line_no"), "text"))
+    out = staged(_union(parts), "compacted")
     history = run_savings(runs.join(routes.select("run_id", "bypassed"), "run_id"), lines, out)
     return Compacted(out, history)
 
 
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _by_branch(lines: DataFrame) -> DataFrame:
     """Stage the lines in one folder per branch, so that a filter on it prunes files."""
-    from logcompact.session import scratch_path
-
     spark = lines.sparkSession
     path = scratch_path(spark, "routed")
     lines.write.partitionBy("branch").parquet(path)
