@@ -34,9 +34,20 @@ from logcompact.session import scratch_path, staged
 from logcompact.sources.control import ProjectRule, Rule
 
 
-def first_lines(lines: DataFrame) -> DataFrame:
-    """The first line of each run, by partial aggregation."""
-    return lines.groupBy("run_id").agg(F.min_by("text", "line_no").alias("first_line"))
+KINDS = ("plain", "junit", "tap", "ndjson")
+
+
+def run_kinds(lines: DataFrame) -> DataFrame:
+    """Report format of each run, told from its first line: (run_id, kind).
+
+    The format rides in the low bits of the line number, so the least number brings it along in a
+    hash aggregation; taking the first text itself would sort all lines.
+    """
+    kind = detect_kind(F.col("text"))
+    code = F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1
+    least = F.min(F.col("line_no") * len(KINDS) + code)
+    first = lines.groupBy("run_id").agg(F.pmod(least, F.lit(len(KINDS))).cast("int").alias("_code"))
+    return first.select("run_id", F.get(F.array(*map(F.lit, KINDS)), F.col("_code")).alias("kind"))
 
 
 def compact_plain(
@@ -79,8 +90,8 @@ def route_runs(
     routed = (
         match_rule(runs, rules)
         .join(loops, "run_id", "left")
-        .join(first_lines(lines), "run_id", "left")
-        .withColumn("kind", detect_kind(F.col("first_line")))
+        .join(run_kinds(lines), "run_id", "left")
+        .withColumn("kind", F.coalesce("kind", F.lit("plain")))
         .withColumn(
             "bypassed",
             is_security(F.col("command"), F.col("args"))

@@ -18,7 +18,7 @@ from logcompact.operators.commands import classify_commands, registry_coverage
 from logcompact.operators.ordered import attach, chunked
 from logcompact.plans import adapters as A
 from logcompact.plans import oracles as O
-from logcompact.plans.compact import compact, compact_plain, first_lines, route_runs
+from logcompact.plans.compact import compact, compact_plain, route_runs, run_kinds
 from logcompact.session import scratch_path
 from logcompact.sources.control import Rule, merge_rules, rules_table
 from logcompact.sources.history import defaults, read_history
@@ -251,7 +251,7 @@ def detect_run_kind(spark: SparkSession, folder: str) -> DataFrame:
     for number, sql in enumerate((A.USER_JUNIT, A.USER_TAP, A.USER_TESTS)):
         more = A.adapted(spark, folder, sql).withColumn("run_id", F.col("run_id") + number * 1_000_000)
         lines = more if lines is None else lines.unionByName(more)
-    return first_lines(lines).select("run_id", T.detect_kind(F.col("first_line")).alias("kind"))
+    return run_kinds(lines)
 
 
 # --- predicates ------------------------------------------------------------------------------
