@@ -44,6 +44,7 @@ from logcompact.session import staged
 NOWHERE = f"{-(1 << 62)}L"
 
 
+FLAGS = ("_noise", "_error", "_success", "_blank")
 PLACED = (
     "run_id", "line_no", CHUNK, "text", "_plain", "_noise", "_blank",
     "_collected", "_gap", "_block", "_in_block", "_block_head", "_closes",
@@ -155,7 +156,10 @@ def classify_and_place(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     line's text once and classifies it where its chunk is.
     """
     lines = chunked(lines, "line_no", size)
-    return place_lines(classify_lines(lines), classify_lines(lines.repartition("run_id", CHUNK)))
+    flags = classify_lines(lines).select("run_id", "line_no", CHUNK, *FLAGS)
+    # Said outright, because lines that come laid out by run alone would otherwise stay so.
+    layout = ["run_id", CHUNK]
+    return place_lines(flags.repartition(*layout), classify_lines(lines.repartition(*layout)))
 
 
 def parted(previous: str, current: str) -> str:
