@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logcompact.functions.text import WHITE_SPACE, trim_space, words
+from logcompact.functions.text import trim_space, words
 
 # A command that mentions one of these is never compacted.
 SECURITY_KEYWORDS = (
@@ -109,6 +109,6 @@ def is_interactive(args: Column, prefixes: Column) -> Column:
 
 
 __all__ = [
-    "WHITE_SPACE", "basename", "command_key", "full_command", "has_shell_meta",
+    "basename", "command_key", "full_command", "has_shell_meta",
     "is_excluded", "is_interactive", "is_security", "normalize_command", "without_sudo",
 ]
