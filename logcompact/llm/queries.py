@@ -10,11 +10,24 @@ from logcompact.llm import sql
 from logcompact.llm.common import documents
 from logcompact.llm.exact_dedup import exact_dedup
 from logcompact.llm.mixing import mix
+from logcompact.llm.packing import pack
 from logcompact.llm.sharding import shard_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers, read by the driver and sent to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder), vocabulary("word_bpe_49k.json"), 2048)
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_groups(documents(spark, folder), 16)
 
@@ -28,5 +41,5 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_sharding, op6_exact_dedup, op7_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op4_sharding, op6_exact_dedup, op7_mixing)}
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
