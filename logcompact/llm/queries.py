@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logcompact.llm import sql
 from logcompact.llm.common import documents
 from logcompact.llm.exact_dedup import exact_dedup
+from logcompact.llm.jaccard import jaccard_components
 from logcompact.llm.mixing import mix
 from logcompact.llm.packing import pack
 from logcompact.llm.sharding import shard_groups
@@ -28,6 +29,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(documents(spark, folder))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_groups(documents(spark, folder), 16)
 
@@ -41,5 +46,5 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op4_sharding, op6_exact_dedup, op7_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op4_sharding, op6_exact_dedup, op7_mixing)}
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
