@@ -10,9 +10,12 @@ from logcompact.llm import sql
 from logcompact.llm.common import documents
 from logcompact.llm.exact_dedup import exact_dedup
 from logcompact.llm.jaccard import jaccard_components
+from logcompact.llm.language import identify
 from logcompact.llm.mixing import mix
 from logcompact.llm.packing import pack
+from logcompact.llm.pii import find_pii
 from logcompact.llm.sharding import shard_groups
+from logcompact.llm.wordpiece import count_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,10 +36,18 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(documents(spark, folder))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_groups(documents(spark, folder), 16)
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(documents(spark, folder))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
 
@@ -46,5 +57,21 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op4_sharding, op6_exact_dedup, op7_mixing)}
+def word_pieces() -> list[bytes]:
+    """The byte strings of a public vocabulary, in which a piece at the front of a word begins with a space."""
+    import base64
+
+    return [base64.b64decode(line.split()[0]) for line in vocabulary("byte_bpe_50k.tiktoken").splitlines()]
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_pieces(documents(spark, folder), word_pieces())
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
+    )
+}
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
