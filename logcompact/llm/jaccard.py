@@ -21,7 +21,7 @@ SMALL = 24
 #: One-deletion neighbourhoods are indexed in bands up to so many shingles.
 DELETIONS = 192
 #: A signature met so often in one buffer of a task is hot.
-HOT, BUFFER = 64, 2_000_000
+HOT, BUFFER = 64, 700_000
 #: Sets that the driver holds at once in the last resort, and ids that are sent to every task.
 AT_ONCE, SENT = 500, 1_000_000
 OWN, PROBE = 0, 1  # roles of a row: in the scheme of its own band, or looking into the band below
@@ -204,7 +204,7 @@ def sign(docs: DataFrame, buckets: int, percent: int, spare: float) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
-def _chunks(sets: Iterator[np.ndarray], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+def _chunks(sets: Iterator[np.ndarray], most: int = 120_000) -> Iterator[list[np.ndarray]]:
     out, held = [], 0
     for s in sets:
         out.append(s)
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    buckets = 8 * parallelism(spark)
+    buckets = 4 * parallelism(spark)
     met = scratch.write(meet(sign(docs, buckets, percent, spare), buckets), "met")
     rows = met.where("n IS NOT NULL").select("doc_id", "n", "key", "key2", "filled", "filled_below", "lacking")
     shared = met.where("signature IS NOT NULL").select("signature", "owner", "tag")

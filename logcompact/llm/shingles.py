@@ -9,7 +9,7 @@ import numpy as np
 from logcompact.llm.tokens import powers
 
 WIDTH = 5
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _STEP, _LIFT = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,15 +44,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first, end, bytes, start of each text) of texts put together with a space after each."""
     at = 0
-    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    while at < len(data):
-        end, room = at, BLOCK - 1
-        while end < len(data) and (end == at or room > len(data[end])):
-            room -= len(data[end]) + 1
-            end += 1
-        sizes = np.array([len(x) + 1 for x in data[at:end]])
-        yield at, end, b" ".join(data[at:end]) + b" ", np.cumsum(sizes) - sizes
-        at = end
+    while at < len(texts):
+        data, held = [], 0
+        while at + len(data) < len(texts):
+            text = texts[at + len(data)] or ""
+            if data and held + 4 * len(text) >= BLOCK:
+                break
+            data.append(text.encode("utf-8", "surrogatepass"))
+            held += len(data[-1]) + 1
+        sizes = np.array([len(x) + 1 for x in data])
+        yield at, at + len(data), b" ".join(data) + b" ", np.cumsum(sizes) - sizes
+        at += len(data)
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
