@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logcompact.llm import sql
 from logcompact.llm.common import documents
+from logcompact.llm.embedding_dedup import near_duplicates
 from logcompact.llm.exact_dedup import exact_dedup
 from logcompact.llm.jaccard import jaccard_components
 from logcompact.llm.language import identify
@@ -68,10 +69,15 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_pieces(documents(spark, folder), word_pieces())
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
+        op10_embedding_dedup,
     )
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
