@@ -15,6 +15,7 @@ from logcompact.llm.language import identify
 from logcompact.llm.mixing import mix
 from logcompact.llm.packing import pack
 from logcompact.llm.pii import find_pii
+from logcompact.llm.quality import score_quality
 from logcompact.llm.sharding import shard_groups
 from logcompact.llm.wordpiece import count_pieces
 
@@ -69,6 +70,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_pieces(documents(spark, folder), word_pieces())
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
@@ -77,7 +82,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
-        op10_embedding_dedup,
+        op9_quality, op10_embedding_dedup,
     )
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
