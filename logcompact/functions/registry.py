@@ -126,15 +126,24 @@ def registry_rows() -> list[tuple[str, str, list[str], float]]:
     return rows
 
 
+def _sql(text: str) -> str:
+    """A string literal. Rows as literals are a relation of known size, without Python behind it."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def registry_table(spark: SparkSession) -> DataFrame:
     """The registry as a table; its size is fixed, so joins broadcast it."""
-    schema = "base STRING, category STRING, interactive ARRAY<STRING>, savings_pct DOUBLE"
-    return spark.createDataFrame(registry_rows(), schema)
+    rows = [
+        f"({_sql(base)}, {_sql(category)}, CAST(array({', '.join(map(_sql, interactive))}) AS ARRAY<STRING>), {pct}D)"
+        for base, category, interactive, pct in registry_rows()
+    ]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(base, category, interactive, savings_pct)")
 
 
 def profile_map(spark: SparkSession) -> DataFrame:
     """Command as typed -> profile name; its size is fixed, so joins broadcast it."""
-    return spark.createDataFrame(list(PROFILE_OF.items()), "command STRING, profile STRING")
+    rows = [f"({_sql(command)}, {_sql(profile)})" for command, profile in PROFILE_OF.items()]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(command, profile)")
 
 
 def attach_profile(runs: DataFrame) -> DataFrame:

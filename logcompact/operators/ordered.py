@@ -33,6 +33,15 @@ def chunked(rows: DataFrame, position: str = "line_no", size: int = CHUNK_ROWS)
     return rows.withColumn(CHUNK, F.expr(f"{position} div {int(size)}"))
 
 
+def laid_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt out by (keys, chunk).
+
+    A window takes rows that are dealt by a part of its keys for good enough. Rows that come out of a join, a grouping or a
+    bucketed table by run would so keep a long run in one task, chunks or not.
+    """
+    return rows.repartition(*keys, CHUNK)
+
+
 def with_exprs(rows: DataFrame, **exprs: str) -> DataFrame:
     """Add columns given as SQL expressions; they cannot refer to each other."""
     return rows.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
@@ -64,7 +73,7 @@ def streaks(
     last row).
     """
     inner, outer = within_chunk(keys, order), across_chunks(keys)
-    rows = with_exprs(rows, _v=f"named_struct('v', {value})")
+    rows = with_exprs(laid_out(rows, keys), _v=f"named_struct('v', {value})")
     rows = with_exprs(
         rows,
         _r=f"CAST(row_number() OVER ({inner}) AS BIGINT)",
@@ -126,7 +135,7 @@ def running(
     A sum over no rows is 0, a maximum over no rows is null.
     """
     inner, outer = within_chunk(keys, order), across_chunks(keys)
-    rows = with_exprs(rows, _value=f"CAST({value} AS BIGINT)")
+    rows = with_exprs(laid_out(rows, keys), _value=f"CAST({value} AS BIGINT)")
     parts = with_exprs(
         rows.groupBy(*keys, CHUNK).agg(F.expr(f"{aggregate}(_value) AS _part")),
         _base=f"{aggregate}(_part) OVER ({outer} {BEFORE})",
@@ -158,4 +167,4 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str] = ("run_id",))
     list of (key, chunk), which is small, and then to the rows on both.
     """
     chunks = rows.select(*keys, CHUNK).distinct().join(facts, list(keys), "left")
-    return rows.join(staged(chunks, "facts"), [*keys, CHUNK])
+    return laid_out(rows, keys).join(staged(chunks, "facts"), [*keys, CHUNK])

@@ -84,7 +84,9 @@ def role_sql(name: str, general, profile: str = "profile", text: str = "st") ->
     return f"CASE {profile} {' '.join(cases)} ELSE {default} END"
 
 
-NOISE = role_sql("noise", None)
+#: A short kubectl line that starts with I is no noise.
+SHORT_INFO = "profile = 'kubectl' AND starts_with(st, 'I') AND strlen(st) <= 20"
+NOISE = f"(({role_sql('noise', None)}) AND NOT ({SHORT_INFO}))"
 ERROR = role_sql("error", GENERAL_ERROR)
 SUCCESS = role_sql("success", GENERAL_SUCCESS)
 

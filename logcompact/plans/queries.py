@@ -275,12 +275,12 @@ def line_flags(spark: SparkSession, folder: str) -> DataFrame:
         for sql, name in ((O.NOISE, "noise"), (O.ERROR, "error"), (O.SUCCESS, "success"))
     )
     + " FROM (SELECT doc_id, text AS st, unnest(["
-    + ", ".join(O.q(p) for p in P.PROFILES if p != "kubectl")
+    + ", ".join(O.q(p) for p in P.PROFILES)
     + "]) AS profile FROM documents) x"
 )
 def document_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Every profile over every whole text."""
-    names = F.array(*(F.lit(p) for p in P.PROFILES if p != "kubectl"))
+    names = F.array(*(F.lit(p) for p in P.PROFILES))
     rows = A.table(spark, folder, "documents").select("doc_id", "text", F.explode(names).alias("profile"))
     text, profile = F.col("text"), F.col("profile")
     return rows.select(
