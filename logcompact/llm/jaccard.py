@@ -27,6 +27,7 @@ AT_ONCE, SENT = 500, 1_000_000
 OWN, PROBE = 0, 1  # roles of a row: in the scheme of its own band, or looking into the band below
 DELETED, STARVED, KNOWN = 2, 4, 8  # marks: a deletion neighbour; of a set with too few segments; counted elsewhere
 TAG_BITS, ROW = 36, np.dtype([("low", "<u4"), ("high", "u1"), ("owner", "<u8")])
+HOT_ROW = np.dtype([*ROW.descr, ("home", "<u4")])  # rows that are not where their signature is at home
 
 
 def differ(small: np.ndarray | int, large: np.ndarray | int, percent: int = PERCENT):
@@ -48,7 +49,7 @@ def segments(top: np.ndarray, percent: int = PERCENT, spare: float = 1.0) -> np.
     """
     most = top * 100 / percent
     differing = (most + top) * (100 - percent) / (100 + percent)
-    return np.ceil(differing * (1 + 0.14 * spare) + 1.5 * spare * np.sqrt(top)).astype(np.int64)
+    return np.maximum(np.ceil(differing * (1 + 0.14 * spare) + 1.5 * spare * np.sqrt(top)), 1).astype(np.int64)
 
 
 def units_needed(n: np.ndarray, role: int, percent: int = PERCENT) -> np.ndarray:
@@ -134,12 +135,14 @@ _SIGNED = pa.schema(
 )
 
 
-def packed(bucket: np.ndarray, signature: np.ndarray, tag: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket with its rows as bytes: 36 bits of the signature, the tag, the owner."""
+def packed(bucket, signature, tag, owner, home=None) -> pa.RecordBatch:
+    """One row per bucket with its rows as bytes: 36 bits of the signature, the tag, the owner, and the home if it differs."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     word = (signature[order] & np.uint64((1 << TAG_BITS) - 1)) << np.uint64(4) | tag[order].astype(np.uint64)
-    rows = np.empty(len(word), dtype=ROW)
+    rows = np.empty(len(word), dtype=ROW if home is None else HOT_ROW)
+    if home is not None:
+        rows["home"] = home[order]
     rows["low"], rows["high"], rows["owner"] = word & np.uint64(0xFFFFFFFF), word >> np.uint64(32), owner[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     data = [rows[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(rows)), strict=True)]
@@ -161,8 +164,8 @@ def sign(docs: DataFrame, buckets: int, percent: int, spare: float) -> DataFrame
         hot = np.repeat(length > HOT, length)
         home = (signature >> np.uint64(40)).astype(np.int64) % buckets
         if hot.any():  # known to be shared: spread by owner; one stands for them where the signature's other rows meet
-            spread = home[hot] + buckets * (1 + (owner[hot] >> np.uint64(8)).astype(np.int64) % buckets)
-            yield packed(spread, signature[hot], tag[hot] | np.uint64(KNOWN), owner[hot])
+            spread = buckets + (owner[hot] >> np.uint64(8)).astype(np.int64) % buckets
+            yield packed(spread, signature[hot], tag[hot] | np.uint64(KNOWN), owner[hot], home[hot])
             keep = ~hot
             keep[first[length > HOT]] = True
             known = np.where(hot[keep], np.uint64(KNOWN), np.uint64(0))
@@ -247,9 +250,9 @@ def meet(signed: DataFrame, buckets: int) -> DataFrame:
             for k, (name, kind) in enumerate((("signature", pa.int64()), ("owner", pa.int64()), ("tag", pa.int32()))):
                 rows = rows.add_column(k, name, pa.nulls(n, kind))
             return rows
-        rows = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=ROW)
+        rows = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=ROW if bucket < buckets else HOT_ROW)
         word = rows["low"].astype(np.uint64) | rows["high"].astype(np.uint64) << np.uint64(32)
-        signature = (word >> np.uint64(4)) | np.uint64(bucket % buckets) << np.uint64(TAG_BITS)
+        signature = (word >> np.uint64(4)) | (np.uint64(bucket) if bucket < buckets else rows["home"].astype(np.uint64)) << np.uint64(TAG_BITS)
         found = distinct(signature, rows["owner"], (word & np.uint64(15)).astype(np.int32))
         if bucket < buckets:
             found = shared(*found)
@@ -376,7 +379,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     best = part.join(hubs, "signature").where("owner <> hub").groupBy("owner", "hub").count()
     best = best.groupBy("owner").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     first = scratch.write(linked(best.select(F.col("owner").alias("a"), F.col("hub").alias("b")), sets, percent), "first")
-    groups = components(first, scratch)
+    groups = scratch.write(components(first, scratch), "groups")
 
     # 3. what other groups share, and whom that leaves with too few free units
     facts = opened.join(groups, F.col("owner") == F.col("node"), "left").select(
@@ -406,7 +409,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     second = linked(pairs, sets, percent).union(from_lacking(docs, classes, percent))
 
     # 4. groups of all
-    whole_groups = components(first.union(second), scratch)
+    known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    whole_groups = components(known.union(second), scratch)
     of_class = classes.join(whole_groups, F.col("owner") == F.col("node"), "left").select(
         "owner", "doc", F.coalesce("component", "owner").alias("group")
     )
