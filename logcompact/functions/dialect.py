@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 NOT_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 SPACE_SET = r"\t\n\f\r "
 NEVER = "(?!)"
+TEXT_START, TEXT_END = r"\A", r"\z"
+# The general categories of characters; other names in \p{...} are scripts.
+CATEGORIES = "C Cc Cf Co Cs L Ll Lm Lo Lt Lu M Mc Me Mn N Nd Nl No P Pc Pd Pe Pf Pi Po Ps S Sc Sk Sm So Z Zl Zp Zs".split()
 
 
 class UnsupportedPattern(ValueError):
@@ -43,6 +50,8 @@ class Pattern:
 
 _FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
 _NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
+_TIMES = re.compile(r"([*+?]|\{\d+(?:,\d*)?\})(\??)")
+_TIMES_END = re.compile(r"(?<!\\x)\{\d+(?:,\d*)?\}\Z")
 _POSIX = re.compile(r"\[:(\^?)(\w+):\]")
 _POSIX_NAMES = {
     "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl",
@@ -55,6 +64,7 @@ def translate(pattern: str) -> Pattern:
     """Translate an RE2 pattern; raise UnsupportedPattern when RE2 itself would refuse it."""
     pieces: list[str] = []
     crosses = multiline = dotall = False
+    swaps = [False]  # per open group, whether greedy and lazy are swapped
     i, n = 0, len(pattern)
     while i < n:
         ch = pattern[i]
@@ -78,24 +88,44 @@ def translate(pattern: str) -> Pattern:
         elif pattern.startswith("(?", i):
             named, flags = _NAMED.match(pattern, i), _FLAGS.match(pattern, i)
             if named:
+                swaps.append(swaps[-1])
                 pieces.append(f"(?<{named[1].replace('_', '')}>")
                 i = named.end()
             elif flags:
-                if "U" in flags[1] or "U" in (flags[2] or ""):
-                    raise UnsupportedPattern("swapped greediness has no Java counterpart")
-                multiline |= "m" in flags[1]
-                dotall |= "s" in flags[1]
-                pieces.append(flags[0])
+                on, off = flags[1], flags[2] or ""
+                multiline |= "m" in on
+                dotall |= "s" in on
+                if flags[3] == ":":
+                    swaps.append(swaps[-1])
+                if "U" in on + off:
+                    swaps[-1] = "U" not in off
+                plain, less = on.replace("U", ""), off.replace("U", "")
+                said = plain + (f"-{less}" if less else "")
+                pieces.append(f"(?{said}{flags[3]}" if said or flags[3] == ":" else "")
                 i = flags.end()
             else:
                 raise UnsupportedPattern(f"group syntax at {i} in {pattern!r}")
         else:
-            if ch in "*+?" and i and pattern[i - 1] in "*+?}" and not _is_lazy_mark(pattern, i):
+            after_times = i and (pattern[i - 1] in "*+?" or _TIMES_END.search(pattern, 0, i))
+            if ch in "*+?" and after_times and not _is_lazy_mark(pattern, i):
                 raise UnsupportedPattern(f"nested repetition at {i} in {pattern!r}")
             crosses |= ch == "\n"
-            pieces.append(ch)
-            i += 1
+            if ch == "(":
+                swaps.append(swaps[-1])
+            elif ch == ")" and len(swaps) > 1:
+                swaps.pop()
+            times = _TIMES.match(pattern, i) if swaps[-1] else None
+            if times:  # greedy and lazy change places
+                pieces.append(times[1] + ("" if times[2] else "?"))
+                i = times.end()
+            else:
+                pieces.append(ch)
+                i += 1
     crosses |= dotall and "." in pieces
+    if multiline:  # here ^ and $ are the ends of any line, and those of the text need the text
+        crosses |= TEXT_START in pieces or TEXT_END in pieces
+    else:
+        pieces = [{TEXT_START: "^", TEXT_END: "$"}.get(p, p) for p in pieces]
     head = "(?dm)" if multiline else "(?d)"
     java = head + "".join(r"\z" if p == "$" and not multiline else p for p in pieces)
     _check(java)
@@ -167,7 +197,16 @@ def _escape(pattern: str, i: int) -> tuple[str, int, bool]:
         close = pattern.find("}", i) if pattern[i + 2 : i + 3] == "{" else i + 2
         if close < i + 2:
             raise UnsupportedPattern("open property name")
-        return pattern[i : close + 1], close + 1 - i, ch == "P"
+        name = pattern[i + 2 : close + 1].strip("{}")
+        without = (ch == "P") != name.startswith("^")
+        name = name.removeprefix("^")
+        step, sign = close + 1 - i, "P" if without else "p"
+        if name == "Any":
+            return (r"[^\x{0}-\x{10ffff}]" if without else r"[\x{0}-\x{10ffff}]"), step, not without
+        shown = name if name in CATEGORIES else f"Is{name}"
+        # the newline is a control character and in no script but the common one
+        holds = name in ("C", "Cc", "Common")
+        return f"\\{sign}{{{shown}}}", step, holds != without
     if ch == "x":
         hexa = re.compile(r"\\x(?:\{([0-9A-Fa-f]{1,6})\}|([0-9A-Fa-f]{2}))").match(pattern, i)
         if not hexa:
@@ -178,7 +217,7 @@ def _escape(pattern: str, i: int) -> tuple[str, int, bool]:
         "s": (f"[{SPACE_SET}]", True), "S": (f"[^{SPACE_SET}]", False),
         "d": (r"\d", False), "D": (r"\D", True), "w": (r"\w", False), "W": (r"\W", True),
         "b": (WORD_EDGE, False), "B": (NOT_WORD_EDGE, False),
-        "A": ("^", False), "z": ("$", False), "a": (r"\x07", False),
+        "A": (TEXT_START, False), "z": (TEXT_END, False), "a": (r"\x07", False),
         "n": (r"\n", True), "r": (r"\r", False), "t": (r"\t", False),
         "f": (r"\f", False), "v": (r"\x0B", False),
     }
@@ -233,15 +272,22 @@ def _char_class(pattern: str, i: int) -> tuple[str, int, bool]:
 
 def _for_python(java: str) -> str:
     shape = re.sub(r"^\(\?(dm?)\)", lambda m: "(?m)" if m[1] == "dm" else "", java)
-    shape = shape.replace(r"\z", r"\Z").replace("(?<", "(?P<").replace("(?P<=", "(?<=")
+    shape = shape.replace(r"\x{10ffff}", r"\uffff").replace(r"\z", r"\Z").replace("(?<", "(?P<").replace("(?P<=", "(?<=")
     shape = shape.replace("(?P<!", "(?<!")
     shape = re.sub(r"\\[pP](\{\w+\}|\w)", "a", shape)
     shape = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", shape)
     return re.sub(r"\(\?([ims]*)(?:-[ims]+)?\)", "", shape)
 
 
+@lru_cache(maxsize=4096)
 def _check(java: str) -> None:
     try:
         re.compile(_for_python(java))
     except (re.error, OverflowError) as exc:
         raise UnsupportedPattern(str(exc)) from exc
+    context = SparkContext._active_spark_context
+    if context is not None:  # what will evaluate it has the last word
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except IllegalArgumentException as exc:
+            raise UnsupportedPattern(str(exc)) from exc

@@ -8,7 +8,7 @@ from logcompact.functions import text as T
 
 
 @pytest.mark.parametrize(
-    "pattern", ["(?=x)", "(?<!a)b", r"(a)\1", "a++", "[a", "a)", "(?U)a", r"\Z", "x{2", "(?>a)"][:8]
+    "pattern", ["(?=x)", "(?<!a)b", r"(a)\1", "a++", "[a", "a)", r"\Z", "x{2", "(?>a)"][:7]
 )
 def test_what_re2_refuses_is_refused(pattern):
     assert not D.is_valid(pattern)
