@@ -19,6 +19,7 @@ from logcompact.llm.queries import vocabulary
 from logcompact.session import Scratch
 
 VOCABULARY, LENGTH = "word_bpe_49k.json", 2048
+COPY = "__copy of the mix"
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     copies = mix(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_of")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    taken = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(copies["_of"]))
+    each = F.explode(F.sequence(F.lit(1), copies["_copies"])).alias(COPY)
+    return taken.select(*[docs[c] for c in docs.columns], each).drop(COPY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
