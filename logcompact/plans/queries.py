@@ -12,7 +12,6 @@ from logcompact.functions import commands as C
 from logcompact.functions import profiles as P
 from logcompact.functions import registry as G
 from logcompact.functions import text as T
-from logcompact.functions import tokens as K
 from logcompact.operators import blocks, caps, loops, reports, rules, savings
 from logcompact.operators.commands import classify_commands, registry_coverage
 from logcompact.operators.ordered import attach, chunked
@@ -749,18 +748,10 @@ def _stream_savings(spark: SparkSession, folder: str) -> DataFrame:
 # --- extension points ------------------------------------------------------------------------
 
 
-@query(
-    """SELECT doc_id, CAST(strlen(text) - (strlen(text) - strlen(replace(text, 'th', ''))) // 2 AS BIGINT) AS tokens,
-    CAST(strlen(text) // 4 AS BIGINT) AS estimate FROM documents"""
-)
+@query("SELECT doc_id, CAST(strlen(text) // 4 AS BIGINT) AS tokens, false AS exact_tokens FROM documents")
 def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """A vocabulary of all bytes and one pair, whose counts can be told without merging."""
-    ranks = {bytes([b]): b for b in range(256)} | {b"th": 256}
-    shared = spark.sparkContext.broadcast(ranks)
     return A.table(spark, folder, "documents").select(
-        "doc_id",
-        K.count_tokens(F.col("text"), shared).alias("tokens"),
-        K.count_tokens(F.col("text")).alias("estimate"),
+        "doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.lit(False).alias("exact_tokens")
     )
 
 

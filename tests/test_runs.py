@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import logcompact
 from logcompact import sinks
-from logcompact.functions import registry, tokens
+from logcompact.functions import registry, text
 from logcompact.operators import commands, loops, savings
 from logcompact.plans.compact import compact, compact_plain
 from logcompact.sources import control, history, lines
@@ -163,11 +163,6 @@ def test_blank_lines_decide_how_long_a_block_lasts(spark, lines_of, rendered):
     assert rendered(compact_plain(runs, raw, blanks=True)) == {1: ["error: x", "a", "", "", "b", "[2 times]: b"]}
 
 
-def test_tokens(spark, tmp_path):
-    ranks = {bytes([b]): b for b in range(256)} | {b"th": 256, b"the": 257}
-    path = tmp_path / "ranks"
-    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in ranks.items()))
-    shared = tokens.load_ranks(spark, str(path))
-    frame = spark.createDataFrame([("the thing",), ("",), (None,)], "t STRING")
-    got = frame.select(tokens.counted_tokens(F.col("t"), shared).alias("a"), tokens.count_tokens(F.col("t")).alias("b"))
-    assert [(r.a.tokens, r.a.exact_tokens, r.b) for r in got.collect()] == [(6, True, 2), (0, True, 0), (0, True, 0)]
+def test_token_estimate(spark):
+    frame = spark.createDataFrame([("abcdefgh",), ("",)], "t string")
+    assert [r.n for r in frame.select(text.token_estimate(F.col("t")).alias("n")).collect()] == [2, 0]
