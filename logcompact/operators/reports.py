@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logcompact import schemas
 from logcompact.functions.dialect import to_java
 from logcompact.functions.text import trim_space
+from logcompact.operators.junit import read_junit
 from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked, running
-from logcompact.operators.rules import MAX_TEXT_BYTES, run_texts
 from logcompact.session import staged
 
 LAST = (1 << 62) - 1
@@ -241,60 +240,44 @@ def summarize_tap(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     return heads.unionByName(details)
 
 
-def parse_junit(lines: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """One row per suite: (run_id, suite_no, name, tests, failures, errors, time, cases).
+def parse_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Suites (run_id, suite_no, name, tests, failures, errors, time) and their failed cases, one row each.
 
-    A run that is no valid report gets one row with suite_no null. XML needs the whole document, so
-    a report beyond ``max_bytes`` is refused with an error.
+    A run that is no valid report gets one suite row with suite_no null. Reports are read in pieces, so neither a report
+    nor a suite is ever put in one value.
     """
-    texts = run_texts(lines.select("run_id", "line_no", F.coalesce("text", F.lit("")).alias("text")), max_bytes)
-    parsed = texts.select(
-        "run_id",
-        F.from_xml("full", schemas.JUNIT, {"columnNameOfCorruptRecord": "_bad"}).alias("x"),
-    )
-    suite = ", ".join(
-        f"'{n}', x.{n}" for n in ("_name", "_tests", "_failures", "_errors", "_time", "testcase")
-    )
-    suites = parsed.withColumn(
-        "suites",
-        F.expr(
-            f"""CASE WHEN x IS NULL OR x._bad IS NOT NULL THEN NULL
-                WHEN size(x.testsuite) > 0 THEN x.testsuite ELSE array(named_struct({suite})) END"""
-        ),
-    )
-    return suites.select("run_id", F.posexplode_outer("suites").alias("suite_no", "s")).selectExpr(
+    rows = staged(read_junit(lines, size), "junit")
+    suites = rows.where("what <> 'case'").selectExpr(
         "run_id",
         "suite_no",
-        "coalesce(s._name, '') AS name",
-        "coalesce(s._tests, 0L) AS tests",
-        "coalesce(s._failures, 0L) AS failures",
-        "coalesce(s._errors, 0L) AS errors",
-        "coalesce(s._time, 0D) AS time",
-        "coalesce(s.testcase, array()) AS cases",
+        "coalesce(name, '') AS name",
+        "coalesce(tests, 0L) AS tests",
+        "coalesce(failures, 0L) AS failures",
+        "coalesce(errors, 0L) AS errors",
+        "coalesce(time, 0D) AS time",
     )
+    return suites, rows.where("what = 'case'").withColumnRenamed("piece", CHUNK)
 
 
-def junit_failures(suites: DataFrame) -> DataFrame:
-    """One row per failed case: (run_id, suite_no, case_no, label, message, body).
+def junit_failures(suites: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per failed case of a suite that counts failures: (run_id, suite_no, case_no, label, message, body).
 
     ``body`` holds the first three trimmed lines, ``more`` tells that there was a fourth. A failure
     goes before an error.
     """
-    cases = suites.where("failures + errors <> 0").select(
-        "run_id", "suite_no", F.posexplode("cases").alias("case_no", "c")
-    )
-    cases = cases.withColumn("m", F.expr("coalesce(c.failure, c.error)")).where("m IS NOT NULL")
-    body = F.split(trim_space(F.coalesce("m._VALUE", F.lit(""))), "\n", 4)
-    cases = cases.withColumn("_body", body)
+    failing = suites.where("failures + errors <> 0").select("run_id", "suite_no", F.lit(True).alias("_failing"))
+    cases = attach(cases, failing, ["run_id", "suite_no"]).where("_failing")
+    text = F.expr("IF(failure IS NOT NULL, failure_text, error_text)")
+    cases = cases.withColumn("_body", F.split(trim_space(F.coalesce(text, F.lit(""))), "\n", 4))
     return cases.select(
         "run_id",
         "suite_no",
         "case_no",
         F.expr(
-            """CASE WHEN coalesce(c._classname, '') IN ('', coalesce(c._name, '')) THEN coalesce(c._name, '')
-                    ELSE concat(c._classname, '.', coalesce(c._name, '')) END AS label"""
+            """CASE WHEN coalesce(classname, '') IN ('', coalesce(name, '')) THEN coalesce(name, '')
+                    ELSE concat(classname, '.', coalesce(name, '')) END AS label"""
         ),
-        F.expr("coalesce(m._message, '') AS message"),
+        F.expr("coalesce(failure, error) AS message"),
         F.when(F.get("_body", F.lit(0)) != "", F.transform(F.slice("_body", 1, 3), trim_space))
         .otherwise(F.array().cast("array<string>"))
         .alias("body"),
@@ -302,9 +285,9 @@ def junit_failures(suites: DataFrame) -> DataFrame:
     )
 
 
-def summarize_junit(lines: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+def summarize_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Rendered summary of JUnit reports; a run that does not parse keeps its raw lines."""
-    suites = staged(parse_junit(lines, max_bytes), "suites")
+    suites, cases = parse_junit(lines, size)
     good = suites.where("suite_no IS NOT NULL")
     bad = "failures + errors"
     header = (
@@ -312,7 +295,7 @@ def summarize_junit(lines: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFr
         f"IF({bad} = 0, '', concat(', ', {bad}, ' FAILED:')))"
     )
     heads = good.select("run_id", place("1", "suite_no"), F.expr(header).alias("text"))
-    failures = junit_failures(good).withColumn(
+    failures = junit_failures(good, cases).withColumn(
         "rows",
         F.expr(
             """concat(array(concat('  FAIL: ', label)),
@@ -325,7 +308,7 @@ def summarize_junit(lines: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFr
         "run_id", "suite_no", "case_no", F.posexplode("rows").alias("row_no", "text")
     ).select("run_id", place("1", "suite_no", "case_no + 1", "row_no"), "text")
     raw = suites.where("suite_no IS NULL").select("run_id")
-    raw_lines = attach(chunked(lines), raw.withColumn("_raw", F.lit(True))).where("_raw").select(
+    raw_lines = attach(chunked(lines, "line_no", size), raw.withColumn("_raw", F.lit(True))).where("_raw").select(
         "run_id", place("0", "line_no"), "text"
     )
     # The raw text ends in a newline, which leaves one empty line behind it.

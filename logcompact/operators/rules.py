@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from logcompact.functions.commands import full_command
 from logcompact.functions.dialect import Pattern, any_of, to_java, translate
 from logcompact.functions.text import replace_chain, strip_ansi, truncate_bytes
-from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked
+from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked, running
 from logcompact.session import staged
 from logcompact.sources.control import ProjectRule, Rule
 
-# A pattern that may match across lines needs the output in one value. Longer outputs are refused
-# with an error rather than cut.
+# A pattern that may match any number of newlines needs the output in one value. Longer outputs are
+# refused with an error rather than cut.
 MAX_TEXT_BYTES = 256 << 20
+# Lines that are put together for a pattern that may match some newlines, at least.
+BLOCK_LINES = 64
 
 
 def match_rule(runs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -147,7 +149,8 @@ def match_output(
     ``runs`` has run_id and rule, ``lines`` is cleaned and carries its rule. The first entry whose
     pattern matches (or is empty) and whose unless-pattern does not, decides. A pattern that cannot
     match a newline is tested line by line and the answers are combined per run, so the output is
-    never put together; only rules with a pattern that can are evaluated on the joined text.
+    never put together. Rules whose patterns match some newlines at most are tested on overlapping
+    blocks of lines; only rules with a pattern that can match any number are evaluated on the joined text.
     """
     with_entries = [place for place, rule in enumerate(rules) if rule.match_output]
     if not with_entries:
@@ -158,14 +161,24 @@ def match_output(
         parts = [p for m in rules[place].match_output for p in (m.pattern, m.unless) if p]
         return any(translate(p).crosses_lines for p in parts)
 
-    whole = [place for place in with_entries if crosses(place)]
-    local = [place for place in with_entries if place not in whole]
+    def newlines(place: int) -> int | None:
+        parts = [p for m in rules[place].match_output for p in (m.pattern, m.unless) if p]
+        each = [translate(p).newlines for p in parts]
+        return None if None in each else max(each, default=0)
+
+    crossing = [place for place in with_entries if crosses(place)]
+    local = [place for place in with_entries if place not in crossing]
+    whole = [place for place in crossing if newlines(place) is None]
+    blocks = [place for place in crossing if place not in whole]
     most = max(len(rules[place].match_output) for place in with_entries)
     slots = [(number, part) for number in range(most) for part in ("pattern", "unless")]
 
     answers = []
     if local:
         answers.append(_line_answers(lines.where(F.col("rule").isin(local)), rules, local, slots))
+    if blocks:
+        reach = max(newlines(place) for place in blocks)
+        answers.append(_block_answers(lines.where(F.col("rule").isin(blocks)), rules, blocks, slots, reach))
     if whole:
         texts = run_texts(lines.where(F.col("rule").isin(whole)), max_bytes).join(
             runs.select("run_id", "rule"), "run_id"
@@ -238,6 +251,47 @@ def _line_answers(
     )
 
 
+def _block_answers(
+    lines: DataFrame, rules: Sequence[Rule], places: Sequence[int], slots: Sequence[tuple[int, str]], reach: int
+) -> DataFrame:
+    """Answers for patterns whose matches hold at most ``reach`` newlines.
+
+    A run is cut into blocks of lines; each has as many of the following lines besides as a match
+    that begins in it can reach, and one more, so that no match ends at an end that is the block's only.
+    """
+    more = reach + 1
+    size = max(BLOCK_LINES, more)
+    last = lines.groupBy("run_id").agg(F.max("line_no").alias("_high"))
+    rows = running(attach(lines, last), ["run_id"], ["line_no"], "sum", "1", "_n")
+    own = F.expr(f"_n div {size}")
+    before = F.when((own > 0) & (F.col("_n") % size < more), F.array(own - 1, own)).otherwise(F.array(own))
+    texts = (
+        rows.withColumn("_block", F.explode(before))
+        .groupBy("run_id", "rule", "_block")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_lines"),
+            F.bool_or(F.col("line_no") == F.col("_high")).alias("_last"),
+        )
+        .withColumn("full", F.array_join(F.transform("_lines", lambda line: line["text"]), "\n"))
+    )
+    text, first, end = F.col("full"), F.col("_block") == 0, F.col("_last")
+
+    def test(pattern: Pattern) -> Column:
+        return (
+            F.when(first & end, text.rlike(pattern.within(True, True)))
+            .when(first, text.rlike(pattern.within(True, False)))
+            .when(end, text.rlike(pattern.within(False, True)))
+            .otherwise(text.rlike(pattern.within(False, False)))
+        )
+
+    return texts.groupBy("run_id").agg(
+        *(
+            F.max(_entry_column(rules, places, number, part, test)).alias(f"_{part}{number}")
+            for number, part in slots
+        )
+    )
+
+
 def head_lines(lines: DataFrame, n: int | Column, most: int | None = None, order: str = "line_no") -> DataFrame:
     """The first n lines of each run. With a column n, ``most`` bounds it.
 

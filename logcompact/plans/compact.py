@@ -164,7 +164,7 @@ def compact(
     if "tap" in branches:
         parts.append(summarize_tap(taken("tap")[1], size))
     if "junit" in branches:
-        parts.append(summarize_junit(taken("junit")[1], max_bytes))
+        parts.append(summarize_junit(taken("junit")[1], size))
     if not parts:
         parts.append(routed.where("false").select("run_id", place("line_no"), "text"))
     out = staged(_union(parts), "compacted")

@@ -24,15 +24,3 @@ RULES = (
 RULE_TESTS = "rule STRING, name STRING, input STRING, expected STRING"
 
 PROJECT_RULES = "match STRING, action STRING"
-
-_MESSAGE = "STRUCT<_message: STRING, _VALUE: STRING>"
-_CASES = (
-    "ARRAY<STRUCT<_name: STRING, _classname: STRING, _time: DOUBLE, "
-    f"failure: {_MESSAGE}, error: {_MESSAGE}>>"
-)
-_SUITE = (
-    "_name: STRING, _tests: BIGINT, _failures: BIGINT, _errors: BIGINT, _time: DOUBLE, "
-    f"testcase: {_CASES}"
-)
-# A report root is either a wrapper around suites or one bare suite, so both shapes are optional.
-JUNIT = f"STRUCT<{_SUITE}, testsuite: ARRAY<STRUCT<{_SUITE}>>, _bad: STRING>"

@@ -62,3 +62,31 @@ def test_junit(lines_of, rendered):
         3: ["[JUnit] : 0/0 passed"],
         4: ["[JUnit] s: 2/2 passed"],
     }
+
+
+def test_junit_in_pieces(lines_of, rendered):
+    """A report, its suites and its cases may go over any number of cuts, with cuts inside comments, texts and CDATA."""
+    body = "\n".join(f"line {i}" for i in range(9))
+    lines = lines_of({
+        1: '<?xml version="1.0"?>\n<!-- a > b\n<testcase>\n-->\n<testsuites\n name="all"\n>\n<testsuite name="a"\n tests="9" failures="2">\n'
+        '<properties>\n<property\nname="x"/>\n</properties>\n'
+        + "".join(f'<testcase name="ok{i}">\n<system-out>\n<![CDATA[\n<testcase>\n</testsuite>\n]]>\n</system-out>\n</testcase>\n' for i in range(3))
+        + f'<testcase\nname="t1"\nclassname="c">\n<failure message="m &gt; 1">\n\n\n\n\n\n{body}\n</failure>\n</testcase>\n'
+        '<testcase name="t2"><failure>\n<![CDATA[\na <\n]]>\nb</failure><error message="no"/>\n</testcase>\n</testsuite>\n'
+        '<testsuite name="b" tests="2" errors="1"><testcase name="x"/>\n<testcase name="y">\n<error>\n\n</error>\n</testcase>\n</testsuite>\n'
+        '</testsuites>\n<behind\nit',
+        2: '<testsuite name="s" tests="1" failures="1">\n\n\n<testcase name="p">\n<failure>x\n</failure>\n</testcase>\n\n\n</wrong>',
+        3: '<testsuite name="s" tests="1" failures="1">\n\n\n<testcase name="p">\n<failure>x\n\n\n\n\ny\n</failure>\n</testcase>\n\n\n</testsuite>',
+        4: '<testsuite name="s">\n\n\n\n',
+        5: '<testsuite tests="x">\n\n\n</testsuite>',
+    })
+    for size in (1, 2, 7, 1000):
+        got = rendered(R.summarize_junit(lines, size), "place")
+        assert got[1] == [
+            "[JUnit] a: 7/9 passed, 2 FAILED:", "  FAIL: c.t1", "    m > 1", "    line 0", "    line 1", "    line 2",
+            "    [more lines]", "  FAIL: t2", "    a <", "    ", "    b",
+            "[JUnit] b: 1/2 passed, 1 FAILED:", "  FAIL: y",
+        ], size
+        assert got[3] == ["[JUnit] s: 0/1 passed, 1 FAILED:", "  FAIL: p", "    x", "    ", "    ", "    [more lines]"], size
+        for run, n in ((2, 10), (4, 5), (5, 4)):
+            assert len(got[run]) == n + 1 and got[run][0].startswith("<testsuite"), (size, run)

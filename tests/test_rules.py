@@ -117,3 +117,24 @@ def test_project_rules(spark, tmp_path, lines_of):
     assert [r.match for r in rules] == ["^a", "b"]
     kept = U.apply_project_rules(lines_of({1: "a1\nb\nba"}), rules)
     assert sorted(r.text for r in kept.collect()) == ["b", "ba"]
+
+
+def test_patterns_over_some_newlines_need_no_whole_text(spark, lines_of):
+    """Blocks of lines decide, wherever a match lies and whatever the chunks; the text limit of 10 bytes is not met."""
+    rules = K.parse_rules(r"""
+[filters.a]
+match_command = "^a"
+match_output = [
+  { pattern = "x\\n\\n?y$", message = "end" },
+  { pattern = "(?m)^x\\ny$", message = "inside" },
+  { pattern = "^x\\ny", message = "start" },
+  { pattern = "(?m)p\\n^(?:q|\\n)", message = "lines", unless = "(?s)no.no" },
+]""").rules
+    pad = "\n".join(["pad"] * 63)
+    texts = {1: f"{pad}\nx\n\ny", 2: f"{pad}\nx\ny\n{pad}", 3: f"x\nyy\n{pad}", 4: f"{pad}\np\nq", 5: f"{pad}\np\n\n{pad}\nno",
+             6: f"{pad}\np\n\n\nno\nno", 7: f"{pad}\nx\n\ny\nz\n{pad}", 8: f"{pad}\nx\nyy"}
+    runs = spark.createDataFrame([(i, 0) for i in texts], "run_id BIGINT, rule INT")
+    for size in (2, 64, 1000):
+        lines = U.chunked(lines_of(texts), "line_no", size).withColumn("rule", U.F.lit(0))
+        got = {r.run_id: r.message for r in U.match_output(runs, lines, rules, max_bytes=10).collect()}
+        assert got == {1: "end", 2: "inside", 3: "start", 4: "lines", 5: "lines"}, size
