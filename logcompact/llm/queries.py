@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logcompact.llm import sql
 from logcompact.llm.common import documents
@@ -17,6 +18,7 @@ from logcompact.llm.packing import pack
 from logcompact.llm.pii import find_pii
 from logcompact.llm.quality import score_quality
 from logcompact.llm.sharding import shard_groups
+from logcompact.llm.vector_codes import compress, with_label_errors
 from logcompact.llm.wordpiece import count_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +80,18 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return with_label_errors(found.codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
-        op9_quality, op10_embedding_dedup,
+        op9_quality, op10_embedding_dedup, op11_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP}
+ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP, "op11_vector_codes": sql.VECTOR_CODES}

@@ -9,3 +9,45 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION B
     doc_id = first_value(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm ORDER BY cp DESC, doc_id)
 """
+
+
+def _vector_codes(rounds: int = 2) -> str:
+    """Codebooks and codes by plain joins; cells and books have a row per component."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+    SELECT vec_id, part, min(d * 64 + entry) % 64 AS entry, min(d * 64 + entry) // 64 AS d
+    FROM (
+        SELECT vec_id, part, entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d
+        FROM cells c JOIN book{k} b USING (part, j) GROUP BY vec_id, part, entry
+    ) GROUP BY vec_id, part
+),
+book{k + 1} AS (
+    SELECT part, entry, j, coalesce((s - ((s % n) + n) % n) // n, b.x) AS x
+    FROM book{k} b LEFT JOIN (
+        SELECT part, entry, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM cells JOIN near{k} USING (vec_id, part) GROUP BY ALL
+    ) USING (part, entry, j)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS place, len(embedding) // 16 AS width, embedding
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+each AS (SELECT vec_id, place, width, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM kept),
+cells AS (
+    SELECT vec_id, place, k // width AS part, k % width AS j, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM each
+),
+book0 AS (SELECT part, place AS entry, j, x FROM cells WHERE place < 64),{",".join(steps)},
+coded AS (
+    SELECT vec_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, j)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+VECTOR_CODES = _vector_codes()
