@@ -14,6 +14,7 @@ from logcompact.llm.exact_dedup import exact_dedup
 from logcompact.llm.jaccard import jaccard_components
 from logcompact.llm.language import identify
 from logcompact.llm.mixing import mix
+from logcompact.llm.nearest import nearest_vectors
 from logcompact.llm.packing import pack
 from logcompact.llm.pii import find_pii
 from logcompact.llm.quality import score_quality
@@ -87,11 +88,15 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
-        op9_quality, op10_embedding_dedup, op11_vector_codes,
+        op9_quality, op10_embedding_dedup, op11_vector_codes, op12_nearest,
     )
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP, "op11_vector_codes": sql.VECTOR_CODES}
