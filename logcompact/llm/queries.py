@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logcompact.llm import sql
 from logcompact.llm.common import documents
+from logcompact.llm.divergence import audit_sources
 from logcompact.llm.embedding_dedup import near_duplicates
 from logcompact.llm.exact_dedup import exact_dedup
 from logcompact.llm.jaccard import jaccard_components
@@ -92,11 +93,15 @@ def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_jaccard_join, op3_language, op4_sharding, op5_pii, op6_exact_dedup, op7_mixing, op8_token_counts,
-        op9_quality, op10_embedding_dedup, op11_vector_codes, op12_nearest,
+        op9_quality, op10_embedding_dedup, op11_vector_codes, op12_nearest, op13_divergence,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP, "op11_vector_codes": sql.VECTOR_CODES}
+ORACLES: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP, "op11_vector_codes": sql.VECTOR_CODES, "op13_divergence": sql.DIVERGENCE}

@@ -51,3 +51,37 @@ FROM coded JOIN kept USING (vec_id)
 
 
 VECTOR_CODES = _vector_codes()
+
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'
+        ) AS terms
+    FROM documents
+),
+w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+sizes AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM groups LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+    SELECT lang, source, term, coalesce(c.n, 0) AS n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (totals.n + 5 * v) AS p, 1 + (1000000000 * (total + 5)) // (sizes.n + 5 * v) AS q
+    FROM totals JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL
+    ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM terms QUALIFY rank <= 50
+"""
