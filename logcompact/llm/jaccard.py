@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from logcompact.llm.components import components
 from logcompact.llm.common import parallelism
-from logcompact.llm.shingles import mixed, shingle_sets
+from logcompact.llm.shingles import shingle_sets
+from logcompact.llm.wordkeys import mixed
 from logcompact.session import Scratch
 
 #: Link where PERCENT of the union is shared. With it, sizes n <= N can differ in (n + N) * (100 - P) / (100 + P) elements.

@@ -126,8 +126,11 @@ def login_at(text: str, at: int) -> Span | None:
 
 def key_at(text: str, at: int) -> Span | None:
     """An access key: its mark at the start of a token of capitals and digits of one length."""
-    end = run_right(text, at, KEY)
-    return (at, end) if end - at == KEY_LENGTH and (not at or text[at - 1] not in SECRET) else None
+    if at and text[at - 1] in SECRET:
+        return None
+    # one character more than a key has tells whether the token ends there
+    length = run_right(text[at : at + KEY_LENGTH + 1], 0, KEY)
+    return (at, at + length) if length == KEY_LENGTH else None
 
 
 def grouped(text: str, at: int, among: frozenset[str], most: int | None = None) -> Iterator[tuple[int, int]]:

@@ -6,39 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from logcompact.llm.tokens import powers
+from logcompact.llm.wordkeys import WordKeys, mixed
 
 WIDTH = 5
 BLOCK = 1 << 20
 _STEP, _LIFT = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
-_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
-_AHEAD, _BACK = powers(_STEP, BLOCK), powers(pow(_STEP, -1, 1 << 64), BLOCK)
-_PLACE = powers(_LIFT, 64)[1:]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on every bit of x."""
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+_FOLDED = np.arange(256)
+_FOLDED[65:91] += 32  # A-Z count as a-z
+_KEYS = WordKeys(256, 5)
+_PLACE = np.cumprod(np.full(63, _LIFT, dtype=np.uint64))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word in the bytes of a text; long texts are hashed in overlapping-free stretches."""
+    """Start and hash of every word in the bytes of a text; long texts go in stretches that end between words."""
     chars = np.frombuffer(data, dtype=np.uint8)
-    gap = _SPACE[chars]
-    before = np.concatenate([[True], gap[:-1]])
-    at = np.flatnonzero(~gap & before)
-    end = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-    if len(chars) < BLOCK:
-        ahead, back = _AHEAD, _BACK
-    else:
-        ahead, back = powers(_STEP, len(chars)), powers(pow(_STEP, -1, 1 << 64), len(chars))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[chars] * ahead[: len(chars)])])
-    return at, mixed((sums[end] - sums[at]) * back[at] ^ (end - at).astype(np.uint64))
+    found, first = [], 0
+    while first < len(chars):
+        end = first + BLOCK
+        while end < len(chars):  # on to the first gap
+            gaps = np.flatnonzero(_SPACE[chars[end : end + BLOCK]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end += BLOCK
+        part = chars[first:end]
+        gap = _SPACE[part]
+        at = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        stop = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
+        found.append((first + at, _KEYS(_FOLDED[part], at, stop)))
+        first = end
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    return tuple(np.concatenate(x) for x in zip(*(found or none), strict=True))
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from logcompact.llm.wordkeys import WordKeys
+
 #: Texts of code points below this go by words; others are encoded whole. Below it, no code point composes with another.
 LATIN = 0x250
 #: White space for Python's tables but not for the tokenizer; and the one letter here whose lower case is two.
@@ -23,38 +25,38 @@ def _kind(c: int) -> int:
     return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, dtype=np.uint64))])
-
-
 class Words:
-    """Ids of words by hash, in a table with open addresses."""
+    """Ids of words by two hashes, in a table with open addresses; the first tells a word's place."""
 
     def __init__(self) -> None:
         self.pool = np.zeros(0, dtype=np.uint32)
-        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.slots = np.full(1 << 16, -1, dtype=np.int32)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(STEP)) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 for unknown ones."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entry of each word, -1 for unknown ones."""
         out, todo, at = np.full(len(keys), -1), np.arange(len(keys)), self._home(keys)
         while len(todo):
             entry = self.slots[at]
-            hit = (entry >= 0) & (self.keys[entry] == keys[todo]) if len(self.keys) else entry >= 0
+            hit = entry >= 0
+            if len(self.keys):
+                hit &= (self.keys[entry] == keys[todo]) & (self.checks[entry] == checks[todo])
             out[todo[hit]] = entry[hit]
             more = (entry >= 0) & ~hit
             todo, at = todo[more], at[more] + 1 & len(self.slots) - 1
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """New and distinct keys with their ids one after another."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New and distinct words with their ids one after another."""
         new = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-        self.keys, self.lengths = np.concatenate([self.keys, keys]), np.concatenate([self.lengths, lengths])
+        self.keys, self.checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
+        self.lengths = np.concatenate([self.lengths, lengths])
         if 3 * len(self.keys) > len(self.slots):
             self.slots = np.full(1 << (4 * len(self.keys)).bit_length(), -1, dtype=np.int32)
             new = np.arange(len(self.keys), dtype=np.int32)
@@ -73,7 +75,7 @@ class TokenIds:
     """Ids of texts under a tokenizer that lower-cases, drops white space and merges inside words only.
 
     Words are letter runs, single digits and runs of other marks; a chunk between white space that holds an apostrophe is
-    taken as one, since contractions cut it otherwise. Words are told apart by a 64-bit hash within a task.
+    taken as one, since contractions cut it otherwise. Words are told apart by two 64-bit keys within a task.
     """
 
     def __init__(self, definition: str):
@@ -87,8 +89,9 @@ class TokenIds:
         points = range(LATIN)
         self.kind = np.array([_kind(c) for c in points], dtype=np.uint8)
         self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in points], dtype=np.uint32)
-        self.value = np.random.default_rng(1).integers(1, 1 << 63, int(self.lower.max()) + 1, dtype=np.uint64)[self.lower]
-        self.ahead, self.back = powers(STEP, BLOCK), powers(pow(STEP, -1, 1 << 64), BLOCK)
+        same = np.unique(self.lower, return_inverse=True)[1]  # characters with one lower case are one symbol
+        self.symbol, symbols = same.astype(np.int64), int(same.max()) + 1
+        self.key, self.check = WordKeys(symbols, 1), WordKeys(symbols, 2)
         self.words = Words()
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -141,15 +144,16 @@ class TokenIds:
             return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
         closes = np.concatenate([starts[1:] | (kind[1:] == SPACE), [True]]) & (kind != SPACE)
         end = np.flatnonzero(closes) + 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.value[chars] * self.ahead[: len(chars)])])
-        keys = (sums[end] - sums[at]) * self.back[at] ^ (end - at).astype(np.uint64)
-        entry = self.words.find(keys)
+        symbols = self.symbol[chars]
+        keys, checks = self.key(symbols, at, end), self.check(symbols, at, end)
+        entry = self.words.find(keys, checks)
         if (entry < 0).any():
             if len(self.words) > MOST_WORDS:
                 self.words = Words()
                 entry[:] = -1
-            self._learn(keys, entry, chars, at, end, joined)
-            entry[entry < 0] = self.words.find(keys[entry < 0])
+            self._learn(keys, checks, entry, chars, at, end, joined)
+            new = entry < 0
+            entry[new] = self.words.find(keys[new], checks[new])
         start, length = self.words.starts[entry], self.words.lengths[entry]
         stop = np.cumsum(length)
         ids = self.words.pool[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]
@@ -157,16 +161,20 @@ class TokenIds:
         bounds = np.concatenate([[0], stop])[of]
         return ids, np.diff(bounds)
 
-    def _learn(self, keys, entry, chars, at, end, joined) -> None:
-        new, place = np.unique(keys[entry < 0], return_index=True)
-        place = np.flatnonzero(entry < 0)[place]
+    def _learn(self, keys, checks, entry, chars, at, end, joined) -> None:
+        unknown = np.flatnonzero(entry < 0)
+        order = unknown[np.lexsort((checks[unknown], keys[unknown]))]
+        first = (np.diff(keys[order], prepend=~keys[order[0]]) != 0) | (np.diff(checks[order], prepend=~checks[order[0]]) != 0)
+        place = order[first]
         text = self.lower[chars].tobytes().decode("utf-32-le")
         words = [text[a:b] for a, b in zip(at[place], end[place], strict=True)]
-        alone = joined[at[place]] if joined is not None else np.zeros(len(new), dtype=bool)
+        alone = joined[at[place]] if joined is not None else np.zeros(len(place), dtype=bool)
         if (~alone).any():  # one word each: the ids of a word run to the one that ends it
             flat = self.whole(" ".join(w for w, x in zip(words, alone, strict=True) if not x))
             ends = np.flatnonzero(self.is_end[flat]) + 1
-            self.words.add(new[~alone], flat, np.diff(ends, prepend=0))
+            some = place[~alone]
+            self.words.add(keys[some], checks[some], flat, np.diff(ends, prepend=0))
         if alone.any():
             found = [self.whole(w) for w, x in zip(words, alone, strict=True) if x]
-            self.words.add(new[alone], np.concatenate(found), np.array([len(x) for x in found]))
+            some = place[alone]
+            self.words.add(keys[some], checks[some], np.concatenate(found), np.array([len(x) for x in found]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from logcompact.llm.shingles import _SPACE, blocks
 
+#: Bytes of a word that are read beside those of the other words of a block.
+SIDE_BY_SIDE = 1024
+
 
 class Automaton:
     """A trie of pieces with failure links, as tables: next state and pieces popped for every state and byte.
@@ -55,20 +59,23 @@ class Automaton:
             else:
                 popped[at] = 1
             self.next[at] = self.next[link[at]]
-            self.pops[at] = self.pops[link[at]] + popped[at][:, None]
+            closed = self.pops[link[at]] + popped[at][:, None]
+            if closed.max(initial=0) > np.iinfo(self.pops.dtype).max:  # long pieces can close many at once
+                self.pops = self.pops.astype(np.int32)
+            self.pops[at] = closed
             self.rest[at] = popped[at] + self.rest[link[at]]
             below = np.flatnonzero(depth == level + 1)
             self.next[parent[below], byte[below]] = below
             self.pops[parent[below], byte[below]] = 0
 
     def lengths(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, state: int = 0) -> np.ndarray:
-        """Pieces of every word data[at:end], all words side by side, one byte of each at a time."""
+        """Pieces of every word data[at:end], all words side by side, one byte of each at a time; the rest of long ones alone."""
         size = end - at
         order = np.argsort(-size, kind="stable")
         place, size = at[order], size[order]
         states, total = np.full(len(order), state, dtype=np.int64), np.zeros(len(order), dtype=np.int64)
         n, step = len(order), 0
-        while n:
+        while n and step < SIDE_BY_SIDE:
             n = np.searchsorted(-size[:n], -step)  # words longer than the step
             if not n:
                 break
@@ -76,15 +83,36 @@ class Automaton:
             total[:n] += self.pops[states[:n], b]
             states[:n] = self.next[states[:n], b]
             step += 1
+        for k in range(int(np.searchsorted(-size, -step))):
+            more, states[k] = self._alone(data[place[k] + step : place[k] + size[k]], int(states[k]))
+            total[k] += more
         out = np.empty(len(order), dtype=np.int64)
         out[order] = total + self.rest[states]
         return out
 
 
-_KEPT: dict[int, Automaton] = {}
+    def _alone(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """Pieces closed by these bytes and the state after them."""
+        go, pops, total = memoryview(self.next.reshape(-1)), memoryview(self.pops.reshape(-1)), 0
+        for b in data.tobytes():
+            at = state * 256 + b
+            total += pops[at]
+            state = go[at]
+        return total, state
+
+
+_KEPT: dict[str, Automaton] = {}
+
+
+def vocabulary_name(pieces: list[bytes]) -> str:
+    """A digest of all pieces in order."""
+    digest = hashlib.sha256()
+    for piece in pieces:
+        digest.update(len(piece).to_bytes(8, "little") + piece)
+    return digest.hexdigest()
 
 
-def automaton(pieces: list[bytes], name: int) -> Automaton:
+def automaton(pieces: list[bytes], name: str) -> Automaton:
     """One automaton per worker process and vocabulary."""
     if name not in _KEPT:
         _KEPT.clear()
@@ -102,7 +130,7 @@ def count_pieces(docs: DataFrame, pieces: list[bytes], front: bytes = b" ") -> D
     Columns other than doc_id and text are not read. Returns doc_id, n_words, n_tokens.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    name = hash((len(pieces), *pieces[:50]))
+    name = vocabulary_name(pieces)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = automaton(shared.value, name)
