@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import re._parser as parser
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 
+from logcompact.functions.automata import TooLarge, most_newlines, read
+
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 NOT_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 SPACE_SET = r"\t\n\f\r "
@@ -36,6 +37,7 @@ class Pattern:
     per_line_anchors: bool = False
     head: str = ""
     body: tuple[str, ...] = ()
+    source: str = ""
 
     def within(self, first: bool, last: bool) -> str:
         """The pattern for whole lines of a longer text, by whether its first and its last line are among them."""
@@ -50,9 +52,10 @@ class Pattern:
         if not self.crosses_lines:
             # a match may still end at a text end that is told by the last line
             return 0
-        if r"\p" in self.java or r"\P" in self.java:
+        try:
+            return most_newlines(read(self.source))
+        except TooLarge:
             return None
-        return _most_newlines(parser.parse(_for_python(self.java)), bool(re.search(r"\(\?[im]*s", self.java)))
 
     def at(self, first: bool, last: bool) -> str:
         """The pattern for one line of a longer text, its anchors resolved by the line's place."""
@@ -147,7 +150,7 @@ def translate(pattern: str) -> Pattern:
     head = "(?dm)" if multiline else "(?d)"
     java = head + "".join(r"\z" if p == "$" and not multiline else p for p in pieces)
     _check(java)
-    return Pattern(java, crosses, multiline, head, tuple(pieces))
+    return Pattern(java, crosses, multiline, head, tuple(pieces), pattern)
 
 
 def to_java(pattern: str) -> str:
@@ -297,51 +300,6 @@ def _for_python(java: str) -> str:
     return re.sub(r"\(\?([ims]*)(?:-[ims]+)?\)", "", shape)
 
 
-def _holds_newline(members) -> bool:
-    negated = held = False
-    for code, value in members:
-        name = str(code)
-        negated |= name == "NEGATE"
-        if name == "LITERAL":
-            held |= value == 10
-        elif name == "RANGE":
-            held |= value[0] <= 10 <= value[1]
-        elif name == "CATEGORY":
-            held |= str(value) in ("CATEGORY_SPACE", "CATEGORY_NOT_DIGIT", "CATEGORY_NOT_WORD")
-    return held != negated
-
-
-def _most_newlines(shape, dotall: bool) -> int | None:
-    """Newlines that a parsed pattern can match at most; looks around count as none, as they only ask for word edges."""
-    total = 0
-    for code, value in shape:
-        name = str(code)
-        if name == "LITERAL":
-            most: int | None = int(value == 10)
-        elif name == "NOT_LITERAL":
-            most = int(value != 10)
-        elif name == "IN":
-            most = int(_holds_newline(value))
-        elif name == "ANY":
-            most = int(dotall)
-        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
-            most = 0
-        elif name == "SUBPATTERN":
-            most = _most_newlines(value[3], dotall)
-        elif name == "BRANCH":
-            each = [_most_newlines(part, dotall) for part in value[1]]
-            most = None if None in each else max(each)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            one = _most_newlines(value[2], dotall)
-            most = 0 if one == 0 else None if one is None or value[1] == parser.MAXREPEAT else one * int(value[1])
-        else:
-            most = None
-        if most is None:
-            return None
-        total += most
-    return total
-
-
 @lru_cache(maxsize=4096)
 def _check(java: str) -> None:
     try:

@@ -6,23 +6,25 @@ as literals, which a task compiles once; a pattern column would be compiled agai
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logcompact.functions.automata import BEFORE, TooLarge, automaton, composed
 from logcompact.functions.commands import full_command
-from logcompact.functions.dialect import Pattern, any_of, to_java, translate
+from logcompact.functions.dialect import Pattern, UnsupportedPattern, any_of, to_java, translate
 from logcompact.functions.text import replace_chain, strip_ansi, truncate_bytes
 from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked, running
 from logcompact.session import staged
 from logcompact.sources.control import ProjectRule, Rule
 
-# A pattern that may match any number of newlines needs the output in one value. Longer outputs are
-# refused with an error rather than cut.
-MAX_TEXT_BYTES = 256 << 20
 # Lines that are put together for a pattern that may match some newlines, at least.
 BLOCK_LINES = 64
+# Characters that an automaton reads at once, and chunks whose maps are composed in one row.
+AT_ONCE, CHUNKS_TOGETHER = 1 << 20, 1024
 
 
 def match_rule(runs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -108,24 +110,6 @@ def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.where(F.coalesce("text", F.lit("")) != "")
 
 
-def run_texts(lines: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """Each run's lines joined by newlines as ``full``; a run too long for one value is an error."""
-    size = F.sum(F.octet_length("text") + 1)
-    sizes = lines.groupBy("run_id").agg(size.alias("bytes"))
-    message = F.concat(
-        F.lit("run "), F.col("run_id").cast("string"), F.lit(" has "), F.col("bytes").cast("string"),
-        F.lit(f" bytes of output, more than the {max_bytes} that fit in one value"),
-    )
-    checked = sizes.select(
-        "run_id", F.when(F.col("bytes") <= max_bytes, True).otherwise(F.raise_error(message)).alias("ok")
-    )
-    staged(checked, "sizes")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    return lines.groupBy("run_id").agg(
-        F.array_join(F.transform(ordered, lambda line: line["text"]), "\n").alias("full")
-    )
-
-
 def _entry_column(
     rules: Sequence[Rule], places: Sequence[int], number: int, part: str, test: Callable[[Pattern], Column]
 ) -> Column:
@@ -141,16 +125,15 @@ def _entry_column(
     return F.lit(None).cast("boolean") if out is None else out
 
 
-def match_output(
-    runs: DataFrame, lines: DataFrame, rules: Sequence[Rule], max_bytes: int = MAX_TEXT_BYTES
-) -> DataFrame:
+def match_output(runs: DataFrame, lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Runs whose whole output is replaced by one message: (run_id, rule, message).
 
-    ``runs`` has run_id and rule, ``lines`` is cleaned and carries its rule. The first entry whose
+    ``runs`` has run_id and rule, ``lines`` is cleaned, chunked and carries its rule. The first entry whose
     pattern matches (or is empty) and whose unless-pattern does not, decides. A pattern that cannot
     match a newline is tested line by line and the answers are combined per run, so the output is
     never put together. Rules whose patterns match some newlines at most are tested on overlapping
-    blocks of lines; only rules with a pattern that can match any number are evaluated on the joined text.
+    blocks of lines; those with a pattern that can match any number by automata, chunk by chunk. Patterns whose
+    automaton would be too large are refused when the plan is built.
     """
     with_entries = [place for place, rule in enumerate(rules) if rule.match_output]
     if not with_entries:
@@ -180,16 +163,7 @@ def match_output(
         reach = max(newlines(place) for place in blocks)
         answers.append(_block_answers(lines.where(F.col("rule").isin(blocks)), rules, blocks, slots, reach))
     if whole:
-        texts = run_texts(lines.where(F.col("rule").isin(whole)), max_bytes).join(
-            runs.select("run_id", "rule"), "run_id"
-        )
-        tests = [
-            _entry_column(rules, whole, number, part, lambda p: F.col("full").rlike(p.java)).alias(
-                f"_{part}{number}"
-            )
-            for number, part in slots
-        ]
-        answers.append(texts.select("run_id", *tests))
+        answers.append(_automaton_answers(lines.where(F.col("rule").isin(whole)), rules, whole, slots))
     answered = answers[0]
     for more in answers[1:]:
         answered = answered.unionByName(more)
@@ -292,6 +266,97 @@ def _block_answers(
     )
 
 
+def _automaton_answers(
+    lines: DataFrame, rules: Sequence[Rule], places: Sequence[int], slots: Sequence[tuple[int, str]]
+) -> DataFrame:
+    """Answers for any patterns, without their text in one place.
+
+    A pattern's automaton takes each state to some state over a stretch of lines; such maps are worked out per task and
+    chunk, composed by chunk, by ranges of chunks and by run, and the run's map tells where its text leads from the start.
+    """
+    sources: list[tuple[int, int, str]] = []
+    machines = []
+    for place in places:
+        for number, part in slots:
+            entries = rules[place].match_output
+            source = getattr(entries[number], part) if number < len(entries) else ""
+            if source:
+                try:
+                    machines.append(automaton(source))
+                except TooLarge as error:
+                    raise UnsupportedPattern(str(error)) from error
+                sources.append((place, number, part))
+    run_type = dict(lines.dtypes)["run_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            chunk = table.column(1).to_numpy()
+            ids = table.column(0).combine_chunks().dictionary_encode()
+            same = np.zeros(len(chunk), dtype=bool)
+            codes = ids.indices.to_numpy(zero_copy_only=False)
+            same[1:] = (codes[1:] == codes[:-1]) & (chunk[1:] == chunk[:-1])
+            first = np.flatnonzero(~same)
+            found = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=True):
+                texts, place = table.column(4)[a:b].to_pylist(), table.column(3)[a].as_py()
+                for slot, (of, _, _) in enumerate(sources):
+                    if of == place:
+                        found.append((a, slot, _map_of(machines[slot], texts)))
+            at = pa.array([a for a, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [table.column(k).take(at).combine_chunks() for k in range(3)]
+                + [pa.array([s for _, s, _ in found], pa.int32()), pa.array([m for _, _, m in found], pa.list_(pa.int32()))],
+                names=["run_id", CHUNK, "line_no", "slot", "map"],
+            )
+
+    laid = lines.select("run_id", CHUNK, "line_no", "rule", "text").withColumn("line_no", F.col("line_no").cast("bigint"))
+    laid = laid.withColumn(CHUNK, F.col(CHUNK).cast("bigint")).repartition("run_id", CHUNK)
+    laid = laid.sortWithinPartitions("run_id", CHUNK, "line_no")
+    maps = laid.mapInArrow(run, f"run_id {run_type}, {CHUNK} bigint, line_no bigint, slot int, map array<int>")
+    wider = F.floor(F.col(CHUNK) / CHUNKS_TOGETHER).alias(CHUNK)
+    for keys in (["run_id", "slot", CHUNK], ["run_id", "slot", CHUNK], ["run_id", "slot"]):
+        maps = _composed(maps, keys)
+        if CHUNK in keys:
+            maps = maps.select("run_id", "slot", wider, "line_no", "map")
+    state = F.element_at("map", BEFORE + 1)
+    ended: Column | None = None
+    for slot, machine in enumerate(machines):
+        test = state.isin(np.flatnonzero(machine.ends).tolist())
+        ended = F.when(F.col("slot") == slot, test) if ended is None else ended.when(F.col("slot") == slot, test)
+    told = maps.withColumn("_found", ended)
+
+    def answer(number: int, part: str) -> Column:
+        own = [k for k, (_, n, p) in enumerate(sources) if (n, p) == (number, part)]
+        return F.max(F.when(F.col("slot").isin(own), F.col("_found"))).alias(f"_{part}{number}")
+
+    return told.groupBy("run_id").agg(*(answer(number, part) for number, part in slots))
+
+
+def _map_of(machine, texts: list[str | None]) -> list[int]:
+    """Where some lines take each state, a stretch at a time."""
+    maps, held, size = [], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "") + 1
+        if size >= AT_ONCE:
+            maps.append(machine.map_of(held))
+            held, size = [], 0
+    maps.append(machine.map_of(held))
+    return composed(np.stack(maps)).tolist()
+
+
+def _composed(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The maps of each group in the order of their first lines, as one map."""
+    grouped = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "map"))).alias("_maps"))
+    rest = F.slice("_maps", 2, F.greatest(F.size("_maps") - 1, F.lit(0)))
+    first = F.element_at("_maps", 1)
+    whole = F.aggregate(rest, first["map"], lambda done, more: F.transform(done, lambda s: F.get(more["map"], s)))
+    return grouped.select(*keys, first["line_no"].alias("line_no"), whole.alias("map"))
+
+
 def head_lines(lines: DataFrame, n: int | Column, most: int | None = None, order: str = "line_no") -> DataFrame:
     """The first n lines of each run. With a column n, ``most`` bounds it.
 
@@ -340,7 +405,6 @@ def apply_rules(
     lines: DataFrame,
     rules: Sequence[Rule],
     size: int = CHUNK_ROWS,
-    max_bytes: int = MAX_TEXT_BYTES,
 ) -> DataFrame:
     """All nine stages for the runs that a rule takes: (run_id, pos, kind, text).
 
@@ -353,7 +417,7 @@ def apply_rules(
     lines = chunked(lines.select("run_id", "line_no", "text"), "line_no", size)
     lines = clean_lines(attach(lines, runs).where("rule IS NOT NULL"), rules)
 
-    replaced = match_output(runs, lines, rules, max_bytes)
+    replaced = match_output(runs, lines, rules)
     if any(rule.match_output for rule in rules):
         replaced = staged(replaced, "replaced")
         settled = replaced.select("run_id", F.lit(True).alias("_settled"))
@@ -418,6 +482,5 @@ def check_rules(rules: Sequence[Rule], tests: DataFrame) -> DataFrame:
 
 __all__ = [
     "apply_project_rules", "apply_rules", "check_rules", "drop_blank", "head_lines",
-    "keep_lines", "limit_lines", "match_output", "match_rule", "on_empty", "run_texts",
-    "strip_lines", "tail_lines", "truncate_lines",
+    "keep_lines", "limit_lines", "match_output", "match_rule", "on_empty", "strip_lines", "tail_lines", "truncate_lines",
 ]

@@ -23,7 +23,6 @@ from logcompact.operators.reports import (
     summarize_test_events,
 )
 from logcompact.operators.rules import (
-    MAX_TEXT_BYTES,
     apply_project_rules,
     apply_rules,
     drop_blank,
@@ -124,7 +123,6 @@ def compact(
     max_stack: int = MAX_STACK_FRAMES,
     max_grep: int = MAX_GREP_HITS,
     size: int = CHUNK_ROWS,
-    max_bytes: int = MAX_TEXT_BYTES,
 ) -> Compacted:
     """Compact every run by the branch it takes, and record what that saved."""
     routes = staged(route_runs(runs, lines, rules, excluded), "routes")
@@ -157,7 +155,7 @@ def compact(
         parts.append(capped.select("run_id", place("pos"), "text"))
     if "rule" in branches:
         ruled_runs, ruled = taken("rule")
-        by_rules = apply_rules(ruled_runs.select("run_id", "rule"), ruled, rules, size, max_bytes)
+        by_rules = apply_rules(ruled_runs.select("run_id", "rule"), ruled, rules, size)
         parts.append(by_rules.select("run_id", place("pos"), "text"))
     if "ndjson" in branches:
         parts.append(summarize_test_events(taken("ndjson")[1], size))

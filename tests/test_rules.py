@@ -1,5 +1,6 @@
 import pytest
 
+from logcompact.functions.dialect import UnsupportedPattern
 from logcompact.operators import rules as U
 from logcompact.sources import control as K
 
@@ -94,11 +95,6 @@ def test_builtin_rules_pass_their_tests(spark):
     assert failed == []
 
 
-def test_texts_too_long_for_one_value_are_refused(spark, lines_of):
-    with pytest.raises(Exception, match="more than the 5"):
-        U.run_texts(lines_of({1: "abc\ndef"}), max_bytes=5).collect()
-
-
 def test_rules_are_read_from_files(spark, tmp_path):
     (tmp_path / "b.toml").write_text('[filters.two]\nmatch_command = "^b"')
     (tmp_path / "a.toml").write_text('[filters.one]\nmatch_command = "^a"\n[[tests.one]]\nname = "t"\ninput = "x"\nexpected = "x"')
@@ -120,7 +116,7 @@ def test_project_rules(spark, tmp_path, lines_of):
 
 
 def test_patterns_over_some_newlines_need_no_whole_text(spark, lines_of):
-    """Blocks of lines decide, wherever a match lies and whatever the chunks; the text limit of 10 bytes is not met."""
+    """Blocks of lines decide, wherever a match lies and whatever the chunks."""
     rules = K.parse_rules(r"""
 [filters.a]
 match_command = "^a"
@@ -136,5 +132,59 @@ match_output = [
     runs = spark.createDataFrame([(i, 0) for i in texts], "run_id BIGINT, rule INT")
     for size in (2, 64, 1000):
         lines = U.chunked(lines_of(texts), "line_no", size).withColumn("rule", U.F.lit(0))
-        got = {r.run_id: r.message for r in U.match_output(runs, lines, rules, max_bytes=10).collect()}
+        got = {r.run_id: r.message for r in U.match_output(runs, lines, rules).collect()}
         assert got == {1: "end", 2: "inside", 3: "start", 4: "lines", 5: "lines"}, size
+
+
+UNBOUNDED = r"""
+[filters.a]
+match_command = "^a"
+match_output = [
+  { pattern = "(?s)begin.*end$", message = "closed", unless = "(?s)fail.*\\nfail" },
+  { pattern = "one\\s+two", message = "apart" },
+  { pattern = "(?m)^x(\\n.*)*\\n^y$", message = "lines" },
+  { pattern = "(?s)^only.{0,9}$", message = "short" },
+]
+[filters.b]
+match_command = "^b"
+match_output = [{ pattern = "(?s)a.*z", message = "b" }]
+"""
+
+
+def test_patterns_over_any_newlines_need_no_whole_text(spark, lines_of):
+    """Automata decide, wherever a match lies, whatever the chunks, and beside a run that would not fit one value."""
+    rules = K.parse_rules(UNBOUNDED).rules
+    pad = "\n".join(["pad line"] * 70)
+    texts = {
+        1: f"begin\n{pad}\nend", 2: f"begin\n{pad}\nend\n{pad}", 3: f"begin\n{pad}\nfail\n{pad}\nfail\nend", 4: f"{pad}\none \n\n\t two",
+        5: f"x\n{pad}\ny\n{pad}", 6: f"xx\n{pad}\ny", 7: "only\nfew", 8: f"only\n{pad}", 9: "begin end", 10: "", 11: "end\nbegin",
+        12: f"a\n{pad}\nz", 13: f"z\n{pad}\na",
+    }
+    runs = spark.createDataFrame([(i, int(i > 11)) for i in texts], "run_id BIGINT, rule INT")
+    joined = runs.withColumnRenamed("run_id", "_id")
+    for size in (1, 7, 64, 1000):
+        lines = U.chunked(lines_of(texts), "line_no", size)
+        lines = lines.join(joined, lines.run_id == joined._id).drop("_id")
+        got = {r.run_id: r.message for r in U.match_output(runs, lines, rules).collect()}
+        assert got == {1: "closed", 4: "apart", 5: "lines", 7: "short", 9: "closed", 12: "b"}, size
+
+
+def test_one_long_run_beside_short_ones(spark):
+    """Three hundred megabytes of one run, in many chunks; the others keep their answers."""
+    rules = K.parse_rules(UNBOUNDED).rules[1:]
+    long = spark.range(3000, numPartitions=8).selectExpr("1L AS run_id", "id AS line_no", "IF(id = 5, 'a', IF(id = 2990, 'z', repeat('q', 100000))) AS text")
+    short = spark.range(2, 6).selectExpr("id AS run_id", "0L AS line_no", "IF(id % 2 = 0, 'a z', 'z a') AS text")
+    lines = U.chunked(long.unionByName(short), "line_no", 200).withColumn("rule", U.F.lit(0))
+    runs = spark.range(1, 6).selectExpr("id AS run_id", "0 AS rule")
+    assert sorted(r.run_id for r in U.match_output(runs, lines, rules).collect()) == [1, 2, 4]
+
+
+def test_patterns_without_a_reasonable_automaton_are_refused(spark, lines_of):
+    rules = K.parse_rules(r"""
+[filters.a]
+match_command = "^a"
+match_output = [{ pattern = "(?s)a.{20}b.*c", message = "m" }]""").rules
+    runs = spark.createDataFrame([(1, 0)], "run_id BIGINT, rule INT")
+    lines = U.chunked(lines_of({1: "a"})).withColumn("rule", U.F.lit(0))
+    with pytest.raises(UnsupportedPattern, match="states"):
+        U.match_output(runs, lines, rules)
