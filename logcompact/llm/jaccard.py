@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logcompact.llm.components import components
-from logcompact.llm.common import parallelism
+from logcompact.llm.common import parallelism, ranked
+from logcompact.llm.embedding_dedup import roots
 from logcompact.llm.shingles import shingle_sets
 from logcompact.llm.wordkeys import mixed
 from logcompact.session import Scratch
@@ -23,6 +24,10 @@ SMALL = 24
 DELETIONS = 192
 #: A signature met so often in one buffer of a task is hot.
 HOT, BUFFER = 64, 700_000
+#: A signature of more sets than this is not joined by pairs: its sets are compared in blocks of FAMILY_BLOCK sets.
+CROWD, FAMILY_BLOCK = 48, 1024
+#: Columns of a dense product, and pairs of a sparse one, at once.
+DENSE, SPARSE = 2048, 4_000_000
 #: Sets that the driver holds at once in the last resort, and ids that are sent to every task.
 AT_ONCE, SENT = 500, 1_000_000
 OWN, PROBE = 0, 1  # roles of a row: in the scheme of its own band, or looking into the band below
@@ -295,6 +300,96 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs.join(b, "b").join(a, "a").where(enough).select("a", "b")
 
 
+def intersections(a_of: np.ndarray, a: np.ndarray, n_a: int, b_of: np.ndarray, b: np.ndarray, n_b: int) -> np.ndarray:
+    """How many shingles each set of one block shares with each of another; `a_of` tells whose each shingle is.
+
+    Shingles that many sets have are columns of a dense product; those that few have add one to each of their few pairs.
+    """
+    column = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    col_a, col_b = column[: len(a)], column[len(a) :]
+    size = int(column.max(initial=-1)) + 1
+    f_a, f_b = np.bincount(col_a, minlength=size), np.bincount(col_b, minlength=size)
+    pairs = f_a * f_b
+    dense = pairs > n_a * n_b // 100
+    out = np.zeros((n_a, n_b), dtype=np.float32)
+    number = np.cumsum(dense) - 1
+    for first in range(0, int(dense.sum()), DENSE):
+        blocks = []
+        for of, col, n in ((a_of, col_a, n_a), (b_of, col_b, n_b)):
+            own = dense[col] & (number[col] >= first) & (number[col] < first + DENSE)
+            block = np.zeros((n, DENSE), dtype=np.float32)
+            block[of[own], number[col[own]] - first] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    few = ~dense & (pairs > 0)
+    order = np.argsort(col_b, kind="stable")
+    start = np.cumsum(f_b) - f_b
+    mine = np.flatnonzero(few[col_a])
+    ends = np.cumsum(f_b[col_a[mine]])
+    at = 0
+    while at < len(mine):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + SPARSE)))
+        some = mine[at:to]
+        each = f_b[col_a[some]]
+        turn = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        theirs = b_of[order[np.repeat(start[col_a[some]], each) + turn]]
+        out += np.bincount(np.repeat(a_of[some], each) * n_b + theirs, minlength=n_a * n_b).reshape(n_a, n_b)
+        at = to
+    return out
+
+
+PACKED = "family long, shard long, least long, most long, owners binary, sizes binary, shingles binary"
+
+
+def family_links(families: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) that join the linked sets of each family (owner, family), every two of its sets being compared.
+
+    A family is cut into blocks by size, blocks whose sizes are too far apart are left out, and a task compares two blocks
+    at a time. Only a spanning forest of the links it finds leaves it, so rows grow with the sets and not with their pairs.
+    """
+    spark = families.sparkSession
+    own = families.join(sets.withColumnRenamed("owner", "_owner"), F.col("owner") == F.col("_owner")).drop("_owner")
+    sized = scratch.write(own.select("family", "owner", "n"), "sized")
+    placed = ranked(sized, ["family"], ["n", "owner"], scratch, "_rank")
+    placed = placed.select("family", F.floor(F.col("_rank") / FAMILY_BLOCK).alias("shard"), F.col("owner").alias("_owner"))
+    rows = placed.join(sets, F.col("owner") == F.col("_owner")).select("family", "shard", "owner", "n", "shingles")
+
+    def pack(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        flat = table.column("shingles").combine_chunks().flatten().to_numpy()
+        return pa.table({
+            "family": table.column("family")[:1], "shard": table.column("shard")[:1], "least": [int(n.min())], "most": [int(n.max())],
+            "owners": [table.column("owner").to_numpy().tobytes()], "sizes": [n.tobytes()], "shingles": [flat.tobytes()],
+        })
+
+    packed_sets = scratch.write(rows.groupBy("family", "shard").applyInArrow(pack, PACKED), "packed")
+    ends = packed_sets.select("family", F.col("shard").alias("j"), "least", "most")
+    pairs = packed_sets.select("family", F.col("shard").alias("i"), F.col("most").alias("_most")).join(ends, "family")
+    pairs = pairs.where((F.col("i") <= F.col("j")) & (F.col("_most") * 100 >= F.col("least") * percent))
+    data = ["owners", "sizes", "shingles"]
+    a = packed_sets.select("family", F.col("shard").alias("i"), *[F.col(c).alias(f"a_{c}") for c in data])
+    b = packed_sets.select("family", F.col("shard").alias("j"), *[F.col(c).alias(f"b_{c}") for c in data])
+    both = pairs.select("family", "i", "j").repartition(parallelism(spark), "family", "i", "j").join(a, ["family", "i"]).join(b, ["family", "j"])
+    both = both.select((F.col("i") == F.col("j")).alias("same"), *[f"a_{c}" for c in data], *[f"b_{c}" for c in data])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[k].as_py(), dtype=kind)  # noqa: B023, E731
+                same = batch.column(0)[k].as_py()
+                (oa, na, sa), (ob, nb, sb) = ((read(c, np.int64), read(c + 1, np.int64), read(c + 2, np.int64)) for c in (1, 4))
+                shared = intersections(np.repeat(np.arange(len(na)), na), sa, len(na), np.repeat(np.arange(len(nb)), nb), sb, len(nb))
+                link = 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
+                x, y = np.nonzero(np.triu(link, 1) if same else link)
+                owners = oa if same else np.concatenate([oa, ob])
+                root = roots(len(owners), x, y if same else len(oa) + y)
+                tied = np.flatnonzero(root != np.arange(len(owners)))
+                yield pa.RecordBatch.from_arrays([pa.array(owners[tied]), pa.array(owners[root[tied]])], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def from_lacking(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links of the few sets that no allocation serves: blocks of them against all documents.
 
@@ -338,7 +433,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
        linked sets can differ in, and one more, is proven to have no link outside its group. The others look up their
        cheapest segments until they have enough units; sets with too few segments use one-deletion neighbours too, and
        if even these don't suffice they are compared with all documents.
-    4. Pairs found are verified on the sets, and the links joined to groups.
+    4. Pairs found are verified on the sets, and the links joined to groups. A crowd, that is a signature of more than 48 sets that
+       some set must look up, makes no pairs: sets that crowds tie together are a family, whose blocks are compared whole, and
+       only a spanning forest of the links found leaves a task.
 
     Texts without words and null texts have no shingles and are linked with nothing; their doc_id is their group. Rows that
     repeat a doc_id or a text are one row each. Null doc_ids get the group of their text. Other columns are not read.
@@ -399,15 +496,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     starved = F.col("tag").bitwiseAND(STARVED) != 0
     looked = costly.join(lack, ["owner", "role"]).withColumn("_rank", F.row_number().over(cheapest))
     looked = looked.where((whole & (F.col("_rank") <= F.col("want"))) | starved).select(
-        "signature", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), starved.alias("all")
+        "signature", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), starved.alias("all"), "size"
     )
-    index = costly.where(F.col("role") == OWN).select(
+    looked = scratch.write(looked, "looked")
+    crowded = F.col("size") > CROWD
+    crowds = looked.where(crowded).select("signature").distinct()
+    crowds = costly.where(crowded).select("signature", "owner").join(crowds, "signature", "left_semi")
+    heads = crowds.groupBy("signature").agg(F.min("owner").alias("b"))
+    ties = crowds.join(heads, "signature").select(F.col("owner").alias("a"), "b").distinct()
+    families = components(ties, scratch).select(F.col("node").alias("owner"), F.col("component").alias("family"))
+    third = scratch.write(family_links(scratch.write(families, "families"), sets, scratch, percent), "third")
+    looked = looked.where(~crowded)
+    index = costly.where((F.col("role") == OWN) & ~crowded).select(
         "signature", F.col("owner").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"), whole.alias("whole")
     )
     pairs = looked.join(index, "signature").where("ga <> gb AND nb <= na AND (whole OR all)")
     pairs = pairs.where(F.col("nb") * 100 >= F.col("na") * percent)
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = linked(pairs, sets, percent).union(from_lacking(docs, classes, percent))
+    second = linked(pairs, sets, percent).union(third).union(from_lacking(docs, classes, percent))
 
     # 4. groups of all
     known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))

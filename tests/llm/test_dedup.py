@@ -125,3 +125,51 @@ def test_shingles_are_those_of_words():
     assert sizes == [0, 0, 0, 1, 1, 1, 1, 2, 2, 1]
     a, b = list(shingle_sets(["one two three four five six", "ONE two\x0bthree four five six"]))
     assert (a == b).all()
+
+
+def test_a_crowd_around_the_threshold(spark):
+    """Hundreds of edited copies of one text, about half of whose pairs are links, among others and at any size of blocks."""
+    r = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(150)]
+    texts = {}
+    for k in range(260):
+        words = list(base)
+        for _ in range(int(r.integers(1, 5))):
+            words[int(r.integers(150))] = f"e{r.integers(10**6)}"
+        if k % 5 == 0:
+            words = words[: int(r.integers(105, 151))]
+        texts[k] = " ".join(words)
+    texts |= {1000 + k: texts[k] for k in range(30)} | {2000 + k: " ".join(f"o{r.integers(40)}" for _ in range(120)) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    sets = {k: set(s.tolist()) for k, s in zip(texts, shingle_sets(list(texts.values())), strict=True)}
+    group = {k: k for k in sets}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    links = 0
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    assert 0.3 < links / (290 * 289 / 2) < 0.8
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    assert found == {k: root(k) for k in keys}
+
+
+def test_shared_shingles_are_counted_in_blocks(monkeypatch):
+    monkeypatch.setattr(J, "DENSE", 7)
+    monkeypatch.setattr(J, "SPARSE", 50)
+    r = np.random.default_rng(1)
+    for n_a, n_b in ((1, 1), (5, 7), (40, 30)):
+        base = r.integers(0, 1 << 60, 200)
+        a, b = ([np.unique(np.concatenate([r.choice(base, r.integers(1, 150)), r.integers(0, 1 << 60, 9)])) for _ in range(n)] for n in (n_a, n_b))
+        of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+        got = J.intersections(of[0], np.concatenate(a), n_a, of[1], np.concatenate(b), n_b)
+        assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
