@@ -485,7 +485,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     )
     met_rows = shared.join(facts, "owner").withColumn("role", role)
     stats = met_rows.groupBy("signature").agg(
-        F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size")
+        F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("owner").alias("head")
     )
     costly = scratch.write(met_rows.join(stats.where("lo <> hi"), "signature").drop("lo", "hi"), "costly")
     lack = costly.groupBy("owner", "role").agg(
@@ -496,14 +496,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, spare: float = 1
     starved = F.col("tag").bitwiseAND(STARVED) != 0
     looked = costly.join(lack, ["owner", "role"]).withColumn("_rank", F.row_number().over(cheapest))
     looked = looked.where((whole & (F.col("_rank") <= F.col("want"))) | starved).select(
-        "signature", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), starved.alias("all"), "size"
+        "signature", F.col("owner").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), starved.alias("all"), "size", "head"
     )
     looked = scratch.write(looked, "looked")
     crowded = F.col("size") > CROWD
-    crowds = looked.where(crowded).select("signature").distinct()
-    crowds = costly.where(crowded).select("signature", "owner").join(crowds, "signature", "left_semi")
-    heads = crowds.groupBy("signature").agg(F.min("owner").alias("b"))
-    ties = crowds.join(heads, "signature").select(F.col("owner").alias("a"), "b").distinct()
+    # a crowd's sets are tied to its first set; the many crowds of one family have few such heads
+    heads = looked.where(crowded).select("head").distinct()
+    ties = costly.where(crowded).select("owner", "head").distinct().join(heads, "head", "left_semi")
+    ties = ties.select(F.col("owner").alias("a"), F.col("head").alias("b"))
     families = components(ties, scratch).select(F.col("node").alias("owner"), F.col("component").alias("family"))
     third = scratch.write(family_links(scratch.write(families, "families"), sets, scratch, percent), "third")
     looked = looked.where(~crowded)
