@@ -4,7 +4,7 @@ A report is cut at line starts, one cut per chunk of lines at most, and never in
 a cut is carried there: the lexer's state by a map of states per chunk, the open elements by a balance of tags per piece.
 Each piece then is a document of its own: the open elements are opened before it and closed behind it.
 All three passes read lines one by one, so neither a report nor a suite nor a case has to fit in memory; of a failure's
-text only what can be shown is kept.
+text only what can be shown is kept. Reports of one chunk need the last pass only.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from logcompact.functions.text import WHITE_SPACE
-from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, chunked
+from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, chunked, merged_chunks
 from logcompact.session import staged
 
 # The lexer's states at a line start; in the first four a report can be cut.
@@ -39,6 +39,8 @@ DOUBLE_VALUE = re.compile(r"([+-]?(?:NaN|Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]
 NUMBER_PREFIX = re.compile(r"-?(?:\d[\d,]*(?:\.\d*)?|\.\d+)", re.ASCII)
 # Of a failure's text three lines are shown.
 SHOWN = 3
+# The place of a piece's head, before all its lines.
+FIRST_ROW = -(1 << 63)
 
 
 def scan(line: str, state: int, name: str = "", told: Callable[[str, bool], None] | None = None) -> tuple[int, str]:
@@ -108,15 +110,29 @@ def _read(rows: DataFrame, start: Callable, schema: str) -> DataFrame:
 
 
 def _per_run(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], order: str, schema: str) -> DataFrame:
-    """A fold over the few rows of a run in order."""
+    """A fold over the few rows of a run in order; a task reads its runs one after another."""
     schema = f"run_id {dict(rows.dtypes)['run_id']}, {schema}"
     types = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(table: pa.Table) -> pa.Table:
-        found = sorted(table.to_pylist(), key=lambda r: r[order])
-        return pa.Table.from_pylist([{"run_id": found[0]["run_id"], **row} for row in fold(found)], schema=types)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
 
-    return rows.groupBy("run_id").applyInArrow(run, schema)
+        def folded() -> list[dict]:
+            return [{"run_id": held[0]["run_id"], **row} for row in fold(held)] if held else []
+
+        out: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["run_id"] != held[0]["run_id"]:
+                    out += folded()
+                    held = []
+                held.append(row)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema=types)
+                out = []
+        yield pa.RecordBatch.from_pylist(out + folded(), schema=types)
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", order).mapInArrow(run, schema)
 
 
 class _States:
@@ -420,16 +436,8 @@ def _merged(parts: list[dict]) -> dict:
     return out
 
 
-def read_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
-    """What reports hold, piece by piece: rows (run_id, piece, what, suite_no, case_no, ...).
-
-    ``what`` is suite, root (a root that is itself the suite), case (one with a failure or an error) or bad (the run is no
-    well-formed report). Suites and cases are counted from 0.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    lines = lines.select("run_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
-    rows = chunked(lines, "line_no", size).select("run_id", CHUNK, "line_no", "text")
+def _cut_pieces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces of reports that go over several chunks: a head with what is open at its start, and its lines."""
     states = _read(rows, _States, "ends array<int>, cut array<bigint>, cut_state array<int>")
     cuts = staged(_per_run(states, _cuts, CHUNK, f"{CHUNK} bigint, cut bigint, cut_state int, before bigint"), "cuts")
     # cut_state is read of a piece's first line only
@@ -447,12 +455,38 @@ def read_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     stacks = stacks.join(starts, ["run_id", "piece"]).join(tags.select("run_id", "piece", "end"), ["run_id", "piece"])
     stacks = staged(stacks, "stacks")
     heads = stacks.select(
-        "run_id", "piece", F.lit(-(1 << 63)).cast("bigint").alias("line_no"), F.lit("").alias("text"),
+        "run_id", "piece", F.lit(FIRST_ROW).cast("bigint").alias("line_no"), F.lit("").alias("text"),
         "stack", "first", "last", "state", "end",
     )
     # a piece behind the root has no head
     live = stacks.select("run_id", "piece", F.lit(True).alias("_live"))
     body = pieces.drop("state").repartition("run_id", "piece").join(live, ["run_id", "piece"], "left_semi")
+    return heads, body.select("run_id", "piece", "line_no", "text")
+
+
+def read_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+    """What reports hold, piece by piece: rows (run_id, piece, what, suite_no, case_no, ...).
+
+    ``what`` is suite, root (a root that is itself the suite), case (one with a failure or an error) or bad (the run is no
+    well-formed report). Suites and cases are counted from 0.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    lines = lines.select("run_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
+    rows = chunked(lines, "line_no", size).select("run_id", CHUNK, "line_no", "text")
+    # A run of one chunk is one piece: nothing is carried to it, and it is read once.
+    chunks = staged(merged_chunks(rows, ["run_id"], size).withColumn("alone", F.col("_chunks") == 1), "chunks")
+    rows = rows.repartition("run_id", CHUNK).join(chunks, ["run_id", CHUNK])
+    rows = rows.select("run_id", F.col("_merged").alias(CHUNK), "line_no", "text", "alone")
+    heads = chunks.where("alone").select("run_id", "_merged").distinct().select(
+        "run_id", F.col("_merged").alias("piece"), F.lit(FIRST_ROW).cast("bigint").alias("line_no"), F.lit("").alias("text"),
+        F.array().cast("array<string>").alias("stack"), F.lit(True).alias("first"), F.lit(True).alias("last"),
+        F.lit(TEXT).alias("state"), F.lit(TEXT).alias("end"),
+    )
+    body = rows.where("alone").select("run_id", F.col(CHUNK).alias("piece"), "line_no", "text")
+    if chunks.where("NOT alone").limit(1).count():
+        more_heads, more = _cut_pieces(rows.where("NOT alone").drop("alone"))
+        heads, body = heads.unionByName(more_heads), body.unionByName(more)
     body = body.withColumns({k: F.lit(None).cast(t) for k, t in heads.dtypes if k not in body.columns})
     found = staged(_read(heads.unionByName(body), _Parser, PARSED), "parsed")
 

@@ -33,6 +33,19 @@ def chunked(rows: DataFrame, position: str = "line_no", size: int = CHUNK_ROWS)
     return rows.withColumn(CHUNK, F.expr(f"{position} div {int(size)}"))
 
 
+def merged_chunks(rows: DataFrame, keys: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, chunk, _merged, _chunks) of chunked rows: chunks put together in order until they hold ``size`` rows.
+
+    Sparse positions leave few rows in a chunk of positions. A merged chunk has fewer than twice ``size`` rows, and
+    ``_chunks`` is how many of them the group has.
+    """
+    counts = rows.groupBy(*keys, CHUNK).agg(F.expr("count(1) AS _n"))
+    counts = with_exprs(counts, _merged=f"coalesce(sum(_n) OVER ({across_chunks(keys)} {BEFORE}), 0L) div {int(size)}")
+    counts = with_exprs(counts, _new=f"_merged IS DISTINCT FROM lag(_merged) OVER ({across_chunks(keys)})")
+    counts = with_exprs(counts, _chunks=f"count_if(_new) OVER (PARTITION BY {', '.join(keys)})")
+    return counts.drop("_n", "_new")
+
+
 def laid_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows dealt out by (keys, chunk).
 

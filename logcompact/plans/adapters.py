@@ -156,6 +156,23 @@ tail_lines = 3
 
 RULES = parse_rules(RULES_TOML).rules
 
+# Patterns that may match any number of newlines; users take the rules in turn.
+UNBOUNDED_RULES = parse_rules(r'''
+[filters.even]
+match_command = "."
+match_output = [
+  { pattern = "(?s)error: signup.*error: view.*step", message = "three apart", unless = "(?s)ok\\n.*error: click.*ok\\n" },
+  { pattern = "error: \\w+\\n(?:.*\\n)*?step \\d+ done\\s+part", message = "a part in the end" },
+  { pattern = "(?s)^(?:note|error|hint|step|ok|=).*[0-9a-z]$", message = "from end to end" },
+]
+[filters.odd]
+match_command = "."
+match_output = [
+  { pattern = "(?sm)^error: signup$.*^error: purchase$", message = "lines", unless = "(?s)error: click[^x]*error: view" },
+  { pattern = "error\\b[^:]*:\\s+(?:view|click)\\n\\s*\\n+ok", message = "blank between" },
+]
+''').rules
+
 PROJECT_RULES = (
     ProjectRule(r"^note view", "suppress"),
     ProjectRule(r"^step", "collapse"),

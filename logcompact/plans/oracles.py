@@ -278,10 +278,10 @@ def rule_sql(place: int, rule: Rule) -> str:
    WHERE message IS NULL AND {q(rule.on_empty)} <> '' AND run_id NOT IN (SELECT run_id FROM {n}_down WHERE {tail}))"""
 
 
-def rules_ctes(ruled: str, lines: str) -> str:
+def rules_ctes(ruled: str, lines: str, rules: tuple[Rule, ...] = A.RULES) -> str:
     parts = [f"ruled AS ({ruled})", f"lines_all AS ({lines})"]
-    parts += [rule_sql(i, r) for i, r in enumerate(A.RULES)]
-    union = " UNION ALL ".join(f"SELECT * FROM r{i}_out" for i in range(len(A.RULES)))
+    parts += [rule_sql(i, r) for i, r in enumerate(rules)]
+    union = " UNION ALL ".join(f"SELECT * FROM r{i}_out" for i in range(len(rules)))
     return ",\n".join([*parts, f"rules_out AS ({union})"])
 
 

@@ -430,6 +430,20 @@ def match_output(spark: SparkSession, folder: str) -> DataFrame:
     return rules.match_output(runs, chunked(lines), A.RULES).select("run_id", "message")
 
 
+_IN_TURN = f"SELECT DISTINCT run_id, CAST(run_id % 2 AS INTEGER) AS rule FROM ({A.USER_LINES}) t"
+
+
+@query(
+    f"WITH {O.rules_ctes(_IN_TURN, A.USER_LINES, A.UNBOUNDED_RULES)}, said AS (SELECT * FROM r0_said UNION ALL SELECT * FROM r1_said) "
+    "SELECT run_id, message FROM said WHERE message IS NOT NULL"
+)
+def match_output_unbounded(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _user_lines(spark, folder).select("run_id", "line_no", "text", F.expr("CAST(run_id % 2 AS INT)").alias("rule"))
+    runs = lines.select("run_id", "rule").distinct()
+    lines = rules.clean_lines(chunked(lines, "line_no", 1 << 12), A.UNBOUNDED_RULES)
+    return rules.match_output(runs, lines, A.UNBOUNDED_RULES).select("run_id", "message")
+
+
 @query(f"SELECT run_id, line_no FROM (SELECT *, row_number() OVER {O.W} AS r FROM ({O.DOC_LINES}) d) x WHERE r <= 3")
 def head_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rules.head_lines(A.doc_lines(spark, folder), 3).select("run_id", "line_no")

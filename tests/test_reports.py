@@ -1,4 +1,5 @@
 from logcompact.operators import reports as R
+from logcompact.operators.ordered import chunked, merged_chunks
 
 
 def test_go_test_events(lines_of, rendered):
@@ -90,3 +91,18 @@ def test_junit_in_pieces(lines_of, rendered):
         assert got[3] == ["[JUnit] s: 0/1 passed, 1 FAILED:", "  FAIL: p", "    x", "    ", "    ", "    [more lines]"], size
         for run, n in ((2, 10), (4, 5), (5, 4)):
             assert len(got[run]) == n + 1 and got[run][0].startswith("<testsuite"), (size, run)
+
+
+def test_sparse_line_numbers_leave_few_pieces(spark, lines_of, rendered):
+    """Line numbers a million apart give the same report, and chunks with as many rows as dense ones."""
+    cases = "\n".join(f'<testcase name="t{k}">' + ("<failure message='m'>x\ny</failure>" if k % 3 == 0 else "") + "</testcase>" for k in range(40))
+    lines = lines_of({1: f'<testsuite name="s" tests="40" failures="14">\n{cases}\n</testsuite>', 2: "<testsuite tests='1'/>"})
+    sparse = lines.withColumn("line_no", R.F.col("line_no") * 1_000_000)
+    want = rendered(R.summarize_junit(lines), "place")
+    assert len(want[1]) > 40
+    for size in (1, 4, 1000):
+        assert rendered(R.summarize_junit(sparse, size), "place") == want
+    rows = chunked(sparse, "line_no", 10)
+    merged = rows.join(merged_chunks(rows, ["run_id"], 10), ["run_id", "_chunk"]).groupBy("run_id", "_merged", "_chunks").count().collect()
+    assert all(r["count"] <= 10 for r in merged) and {(r["run_id"], r["_chunks"]) for r in merged} == {(1, 6), (2, 1)}
+    assert len(merged) == 7
