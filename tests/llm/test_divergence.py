@@ -31,9 +31,11 @@ def brute(docs, least, top=50):
             return 1 + 1_000_000_000 * (n + 5) // (total + 5 * len(kept))
 
         n = {s: [count[lang, s, t] for t in kept] for s in sources}
-        p = {s: np.array([share(x, sum(n[s])) for x in n[s]], dtype=np.int64) for s in sources}
+        totals = {s: sum(n[s]) for s in sources}
+        p = {s: np.array([share(x, totals[s]) for x in n[s]], dtype=np.int64) for s in sources}
         whole = [sum(x) for x in zip(*n.values(), strict=True)]
-        q = [share(x, sum(whole)) for x in whole]
+        all_ = sum(whole)
+        q = [share(x, all_) for x in whole]
         for s in sources:
             pairs = [(-int(np.abs(p[s] - p[o]).sum()), o.encode(), o) for o in sources if o != s]
             terms = [(b - a, t.encode(), t) for t, x, a, b in zip(kept, n[s], p[s].tolist(), q, strict=True) if x and a > b]
