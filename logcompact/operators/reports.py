@@ -73,6 +73,9 @@ def parse_test_events(lines: DataFrame) -> DataFrame:
     ).drop("_json", "_fields", "_when", *(f"_{n}" for n in names))
 
 
+PACKAGE_OK = "NOT pkg_failed AND failed = 0"
+
+
 def test_packages(events: DataFrame) -> DataFrame:
     """Per run and package: tests passed, failed and skipped, elapsed seconds, and the verdict."""
     flat = events.where("event IS NOT NULL").select("run_id", "line_no", "event.*")
@@ -89,7 +92,7 @@ def test_packages(events: DataFrame) -> DataFrame:
             F.expr("bool_or(test = '' AND action = 'fail') AS pkg_failed"),
             F.min("line_no").alias("first_line"),
         )
-        .withColumn("ok", F.expr("NOT pkg_failed AND failed = 0"))
+        .withColumn("ok", F.expr(PACKAGE_OK))
     )
 
 
@@ -131,15 +134,27 @@ def summarize_test_events(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame
     # Parsing JSON is the costly part, and four steps follow.
     events = staged(parse_test_events(lines.select("run_id", "line_no", "text")), "events")
     packages = staged(test_packages(events), "packages")
+    return no_events(events).unionByName(render_packages(packages, kept_test_output(events, packages, size)))
+
+
+def no_events(events: DataFrame) -> DataFrame:
+    return events.where("event IS NULL").select("run_id", place("0", "line_no"), "text")
+
+
+def render_packages(packages: DataFrame, kept: DataFrame) -> DataFrame:
+    """A line per package, and under a failing one its tests with their kept output."""
     header = (
         f"IF(ok, concat('ok   ', package, {_seconds('elapsed')}), "
         f"concat('FAIL ', package, {_seconds('elapsed')}, ': ', failed, '/', "
         "passed + failed + skipped, ' failed'))"
     )
     heads = packages.select("run_id", place("1", "first_line"), F.expr(header).alias("text"))
-    kept = staged(kept_test_output(events, packages, size), "kept-output")
+    kept = staged(kept, "kept-output")
+    # A test goes before its lines, whatever number they begin with.
     tests = kept.where("test <> '' AND line_no = test_line").select(
-        "run_id", place("1", "first_line", "test_line"), F.expr("concat('  --- FAIL: ', test) AS text")
+        "run_id",
+        place("1", "first_line", "test_line", "least(0L, test_line - 1)"),
+        F.expr("concat('  --- FAIL: ', test) AS text"),
     )
     shown = kept.where(trim_space(F.col("text")) != "")
     details = shown.select(
@@ -147,8 +162,7 @@ def summarize_test_events(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame
         place("1", "first_line", f"IF(test = '', {LAST}, test_line)", "line_no"),
         F.expr("IF(test = '', text, concat('    ', text)) AS text"),
     )
-    other = events.where("event IS NULL").select("run_id", place("0", "line_no"), "text")
-    return other.unionByName(heads).unionByName(tests).unionByName(details)
+    return heads.unionByName(tests).unionByName(details)
 
 
 # The lines of the Test Anything Protocol.
@@ -158,6 +172,17 @@ TAP_PLAN = r"^1\.\.(\d+)"
 TAP_DIRECTIVE = r"(?i)#\s*(skip|todo)"
 
 
+def tap_kind(line: Column) -> Column:
+    """What a trimmed line is by itself: plan, mark (of a diagnostic block), ok, fail or other."""
+    return (
+        F.when(line.rlike(to_java(TAP_PLAN)), "plan")
+        .when(line == "---", "mark")
+        .when(line.rlike(to_java(TAP_OK)), "ok")
+        .when(line.rlike(to_java(TAP_NOT_OK)), "fail")
+        .otherwise("other")
+    )
+
+
 def parse_tap(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """The meaningful lines of TAP output.
 
@@ -169,15 +194,8 @@ def parse_tap(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     rows = chunked(lines.select("run_id", "line_no", text.alias("line")), "line_no", size)
     line = F.col("line")
     ok, not_ok = to_java(TAP_OK), to_java(TAP_NOT_OK)
-    kind = (
-        F.when(line.rlike(to_java(TAP_PLAN)), "plan")
-        .when(line == "---", "mark")
-        .when(line.rlike(ok), "ok")
-        .when(line.rlike(not_ok), "fail")
-        .otherwise("other")
-    )
     rows = running(
-        rows.withColumn("_kind", kind), ["run_id"], ["line_no"], "sum", "IF(_kind = 'mark', 1, 0)", "_marks"
+        rows.withColumn("_kind", tap_kind(line)), ["run_id"], ["line_no"], "sum", "IF(_kind = 'mark', 1, 0)", "_marks"
     )
     described = trim_space(
         F.when(F.col("_kind") == "ok", F.regexp_extract(line, ok, 2)).otherwise(
@@ -228,16 +246,22 @@ def summarize_tap(lines: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     # A run whose lines say nothing still gets its zero counts.
     runs = lines.select("run_id").distinct()
     counts = runs.join(tap_counts(parsed), "run_id", "left").fillna(0)
+    return tap_heads(counts).unionByName(tap_failures(parsed))
+
+
+def tap_heads(counts: DataFrame) -> DataFrame:
     header = """IF(failed = 0,
         concat('[TAP] ', passed, '/', total, ' passed', IF(skipped > 0, concat(', ', skipped, ' skipped'), '')),
         concat('[TAP] ', passed, '/', total, ' passed, ', failed, ' FAILED:'))"""
-    heads = counts.select("run_id", place("1"), F.expr(header).alias("text"))
-    details = parsed.where("owner IS NOT NULL").select(
+    return counts.select("run_id", place("1"), F.expr(header).alias("text"))
+
+
+def tap_failures(parsed: DataFrame) -> DataFrame:
+    return parsed.where("owner IS NOT NULL").select(
         "run_id",
         place("1", "owner", "IF(what = 'fail', 0, 1)", "line_no"),
         F.expr("concat(IF(what = 'fail', '  not ok: ', '  '), text) AS text"),
     )
-    return heads.unionByName(details)
 
 
 def parse_junit(lines: DataFrame, size: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -755,8 +755,24 @@ def _stream_loops(spark: SparkSession, folder: str) -> DataFrame:
 @query(O.BY_COMMAND, "stream_savings")
 def _stream_savings(spark: SparkSession, folder: str) -> DataFrame:
     parts = _time_parts(A.adapted(spark, folder, A.EVENT_HISTORY))
-    state, _ = _feed(spark, "savings", parts, history_streams.stream_savings)
-    return history_streams.latest_totals(spark, state)
+    _, out = _feed(
+        spark, "savings", parts, lambda stream, _, out, checkpoint: history_streams.stream_savings(stream, out, checkpoint)
+    )
+    return history_streams.latest_totals(spark, out)
+
+
+@query(
+    "SELECT run_id, cmd, saved_tokens, savings_pct, exec_ms, bypassed, exact_tokens "
+    f"FROM ({A.EVENT_HISTORY}) h"
+)
+def stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _time_parts(A.adapted(spark, folder, A.EVENT_HISTORY))
+    _, out = _feed(
+        spark, "appended", parts, lambda stream, _, out, checkpoint: history_streams.stream_history(stream, out, checkpoint)
+    )
+    return spark.read.parquet(out).select(
+        "run_id", "cmd", "saved_tokens", "savings_pct", "exec_ms", "bypassed", "exact_tokens"
+    )
 
 
 # --- extension points ------------------------------------------------------------------------

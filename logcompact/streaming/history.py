@@ -51,13 +51,24 @@ def stream_loop_guard(
 
 TOTALS = (
     "cmd STRING, runs BIGINT, total_saved BIGINT, sum_pct DOUBLE, active BIGINT, active_pct DOUBLE, "
-    "sum_exec_ms BIGINT, all_exact BOOLEAN, batch_id BIGINT"
+    "sum_exec_ms BIGINT, all_exact BOOLEAN, batch_id INT"
 )
 
 
-def _partial(history: DataFrame) -> DataFrame:
+def stream_history(history: DataFrame, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Append history records to a table; the file sink's log makes each appear once."""
+    writer = history.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_savings(history: DataFrame, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Running totals per command: a streaming aggregate that writes the commands of each micro-batch to ``out``.
+
+    Spark keeps the state, one row per command, under the checkpoint; records add up inside tasks before the shuffle, so
+    a command may hold most of them.
+    """
     active = ~F.coalesce("bypassed", F.lit(False))
-    return history.groupBy("cmd").agg(
+    totals = history.groupBy("cmd").agg(
         F.count(F.lit(1)).alias("runs"),
         F.sum("saved_tokens").alias("total_saved"),
         F.sum("savings_pct").alias("sum_pct"),
@@ -67,34 +78,17 @@ def _partial(history: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce("exact_tokens", F.lit(False))).alias("all_exact"),
     )
 
+    def step(changed: DataFrame, batch_id: int) -> None:
+        write_batch(changed, out, batch_id)
 
-def stream_savings(
-    history: DataFrame, state: str, out: str, checkpoint: str, **trigger: object
-) -> StreamingQuery:
-    """Append history records under ``out`` and keep running totals per command in ``state``."""
-    totals = Slots(f"{state}/totals", TOTALS)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = staged(batch, "history")
-        write_batch(batch, out, batch_id)
-        parts = totals.before(batch.sparkSession, batch_id).unionByName(
-            _partial(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        )
-        sums = [
-            F.sum(name).alias(name)
-            for name in ("runs", "total_saved", "sum_pct", "active", "active_pct", "sum_exec_ms")
-        ]
-        merged = parts.groupBy("cmd").agg(*sums, F.bool_and("all_exact").alias("all_exact"))
-        totals.write(merged.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
-
-    return start(history, step, checkpoint, **trigger)
+    return start(totals, step, checkpoint, "update", **trigger)
 
 
-def latest_totals(spark, state: str) -> DataFrame:
-    """Running totals per command after the last finished batch."""
-    slots = spark.read.schema(TOTALS).parquet(f"{state}/totals/slot=*")
-    last = slots.agg(F.max("batch_id")).first()[0]
-    return slots.where(F.col("batch_id") == F.lit(last)).select(
+def latest_totals(spark, out: str) -> DataFrame:
+    """Running totals per command: the last row that each command got."""
+    rows = spark.read.schema(TOTALS).parquet(out)
+    last = rows.groupBy("cmd").agg(F.max_by(F.struct("runs", "total_saved", "sum_pct", "sum_exec_ms"), "batch_id").alias("t"))
+    return last.select("cmd", "t.*").select(
         "cmd",
         "runs",
         "total_saved",

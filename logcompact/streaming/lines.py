@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logcompact.functions.profiles import PROFILE_OF
+from logcompact.functions.text import trim_space
 from logcompact.operators.blocks import (
     PLACED,
     classify_and_place,
@@ -25,7 +26,17 @@ from logcompact.operators.caps import (
     continue_caps,
 )
 from logcompact.operators.ordered import CHUNK_ROWS, attach, chunked
-from logcompact.operators.reports import summarize_tap, summarize_test_events
+from logcompact.operators.reports import (
+    PACKAGE_OK,
+    kept_test_output,
+    no_events,
+    parse_tap,
+    parse_test_events,
+    render_packages,
+    tap_counts,
+    tap_failures,
+    tap_heads,
+)
 from logcompact.operators.rules import (
     apply_project_rules,
     clean_lines,
@@ -135,42 +146,136 @@ def stream_compact(
     return start(lines, step, checkpoint, **trigger)
 
 
-HELD = "run_id BIGINT, line_no BIGINT, text STRING"
+def _arrived(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of a micro-batch and the runs that it closes."""
+    batch = staged(batch.select("run_id", "line_no", "text", "is_end"), "micro-batch")
+    ended = staged(batch.where("is_end").select("run_id").distinct(), "ended")
+    return batch.where("NOT is_end").select("run_id", "line_no", "text"), ended
 
 
-def _at_end(
-    lines: DataFrame,
-    summarize: Callable[[DataFrame], DataFrame],
-    state: str,
-    out: str,
-    checkpoint: str,
-    trigger: dict[str, object],
+PACKAGES = (
+    "run_id BIGINT, package STRING, passed BIGINT, failed BIGINT, skipped BIGINT, elapsed DOUBLE, ended_line BIGINT, "
+    "pkg_failed BOOLEAN, first_line BIGINT"
+)
+OUTPUT = "run_id BIGINT, line_no BIGINT, package STRING, test STRING, output STRING"
+
+
+def _add_packages(before: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts per run and package: those of the batches before and those of new events."""
+    ended = "event.test = '' AND event.action IN ('pass', 'fail')"
+    new = events.where("event IS NOT NULL").selectExpr(
+        "run_id",
+        "event.package",
+        *(
+            f"CAST(event.test <> '' AND event.action = '{action}' AS BIGINT) AS {name}"
+            for action, name in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))
+        ),
+        f"IF({ended}, event.elapsed, 0D) AS elapsed",
+        f"IF({ended}, line_no, NULL) AS ended_line",
+        "event.test = '' AND event.action = 'fail' AS pkg_failed",
+        "line_no AS first_line",
+    )
+    return before.unionByName(new).groupBy("run_id", "package").agg(
+        *(F.sum(name).alias(name) for name in ("passed", "failed", "skipped")),
+        F.expr("coalesce(max_by(elapsed, ended_line), 0D) AS elapsed"),
+        F.max("ended_line").alias("ended_line"),
+        F.bool_or("pkg_failed").alias("pkg_failed"),
+        F.min("first_line").alias("first_line"),
+    )
+
+
+def stream_test_summary(
+    lines: DataFrame, state: str, out: str, checkpoint: str, size: int = CHUNK_ROWS, **trigger: object
 ) -> StreamingQuery:
-    """Hold the lines of open runs; summarise the runs that a micro-batch closes."""
-    held = Slots(f"{state}/held", HELD)
+    """Summaries of go-test runs: (run_id, place, text).
+
+    Each line is parsed once. State of an open run is one row of counts per package and the output of what has not passed
+    yet, so it does not grow with passed tests. Lines that are no events appear at once, the rest when the run ends.
+    """
+    counts = Slots(f"{state}/packages", PACKAGES)
+    output = Slots(f"{state}/output", OUTPUT)
+    test = ["run_id", "package", "test"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = staged(batch.select("run_id", "line_no", "text", "is_end"), "micro-batch")
-        ended = batch.where("is_end").select("run_id").distinct().withColumn("_ended", F.lit(True))
-        work = held.before(batch.sparkSession, batch_id).unionByName(
-            batch.where("NOT is_end").select("run_id", "line_no", "text")
+        spark = batch.sparkSession
+        fresh, ended = _arrived(batch)
+        events = staged(parse_test_events(fresh), "events")
+        merged = _add_packages(counts.before(spark, batch_id), events)
+        merged = merged.join(ended.withColumn("_ended", F.lit(True)), "run_id", "left")
+        merged = staged(merged, "packages")
+
+        new = events.where("event.action = 'output'").select(
+            "run_id", "line_no", "event.package", "event.test", "event.output"
+        )
+        passes = events.where("event.action = 'pass' AND event.test <> ''").selectExpr(
+            "run_id", "event.package", "event.test", "line_no"
         )
-        work = staged(attach(chunked(work), ended), "held")
-        write_batch(summarize(work.where("_ended").select("run_id", "line_no", "text")), out, batch_id)
-        held.write(work.where("_ended IS NULL"), batch_id)
+        passes = passes.groupBy(*test).agg(F.max("line_no").alias("last_pass"))
+        held = chunked(output.before(spark, batch_id).unionByName(new), "line_no", size)
+        held = attach(held, passes, test).where("last_pass IS NULL OR line_no > last_pass").drop("last_pass")
+        held = staged(attach(held, ended.withColumn("_ended", F.lit(True))), "output")
+
+        closed = merged.where("_ended").withColumn("ok", F.expr(PACKAGE_OK))
+        of_closed = held.where("_ended").select(
+            "run_id", "line_no", F.expr("named_struct('action', 'output', 'package', package, 'test', test, "
+            "'output', output, 'elapsed', 0D) AS event")
+        )
+        shown = render_packages(closed, kept_test_output(of_closed, closed, size))
+        write_batch(no_events(events).unionByName(shown), out, batch_id)
+        counts.write(merged.where("_ended IS NULL"), batch_id)
+        output.write(held.where("_ended IS NULL"), batch_id)
 
     return start(lines, step, checkpoint, **trigger)
 
 
-def stream_test_summary(
-    lines: DataFrame, state: str, out: str, checkpoint: str, size: int = CHUNK_ROWS, **trigger: object
-) -> StreamingQuery:
-    """Summaries of go-test runs, each emitted when its run ends: (run_id, place, text)."""
-    return _at_end(lines, lambda work: summarize_test_events(work, size), state, out, checkpoint, trigger)
+TAP_COUNTS = "run_id BIGINT, total BIGINT, passed BIGINT, failed BIGINT, skipped BIGINT, plan_line BIGINT"
+TAP_OPEN = "run_id BIGINT, line_no BIGINT, text STRING"
 
 
 def stream_tap_summary(
     lines: DataFrame, state: str, out: str, checkpoint: str, size: int = CHUNK_ROWS, **trigger: object
 ) -> StreamingQuery:
-    """Summaries of TAP runs, each emitted when its run ends: (run_id, place, text)."""
-    return _at_end(lines, lambda work: summarize_tap(work, size), state, out, checkpoint, trigger)
+    """Summaries of TAP runs: (run_id, place, text).
+
+    Each line is read once. State of an open run is one row of counts and at most two lines: its last result, and the mark
+    of a diagnostic block that is open. Failures and their diagnostics appear at once, the counts when the run ends.
+    """
+    counts = Slots(f"{state}/counts", TAP_COUNTS)
+    still_open = Slots(f"{state}/open", TAP_OPEN)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh, ended = _arrived(batch)
+        # The lines held put the parser in the state it had; they were counted when they came.
+        held = staged(still_open.before(spark, batch_id), "open")
+        both = held.unionByName(fresh)
+        parsed = staged(parse_tap(both, size), "tap-lines")
+        new = parsed.join(held.select("run_id", "line_no"), ["run_id", "line_no"], "left_anti")
+
+        zero = {name: F.lit(0).cast("bigint") for name in ("total", "passed", "failed", "skipped")}
+        seen = fresh.select("run_id").distinct().select("run_id", *(v.alias(n) for n, v in zero.items()))
+        parts = counts.before(spark, batch_id).unionByName(seen.withColumn("plan_line", F.lit(None).cast("bigint")))
+        plan = F.expr("max(IF(what = 'plan', line_no, NULL)) AS plan_line")
+        numbers = tap_counts(new).join(new.groupBy("run_id").agg(plan), "run_id")
+        merged = parts.unionByName(numbers).groupBy("run_id").agg(
+            F.expr("coalesce(max_by(total, plan_line), 0L) AS total"),
+            *(F.sum(name).alias(name) for name in ("passed", "failed", "skipped")),
+            F.max("plan_line").alias("plan_line"),
+        )
+        merged = staged(merged.join(ended.withColumn("_ended", F.lit(True)), "run_id", "left"), "counts")
+        write_batch(tap_heads(merged.where("_ended")).unionByName(tap_failures(new)), out, batch_id)
+        counts.write(merged.where("_ended IS NULL"), batch_id)
+
+        marks = both.where(trim_space(F.col("text")) == "---").groupBy("run_id").agg(
+            F.max("line_no").alias("line_no"), (F.count(F.lit(1)) % 2 == 1).alias("_odd")
+        )
+        marks = marks.where("_odd").select("run_id", "line_no", F.lit("---").alias("text"))
+        result = parsed.where("what IN ('ok', 'skip', 'fail')").groupBy("run_id").agg(
+            F.max("line_no").alias("line_no"), F.max_by("what", "line_no").alias("what")
+        )
+        # Only whether it failed matters later.
+        result = result.selectExpr("run_id", "line_no", "IF(what = 'fail', 'not ok 0', 'ok 0') AS text")
+        left = marks.unionByName(result).join(ended, "run_id", "left_anti")
+        still_open.write(left, batch_id)
+
+    return start(lines, step, checkpoint, **trigger)

@@ -40,8 +40,8 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def start(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger: object
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger: object
 ) -> StreamingQuery:
     """Run a step on each micro-batch; by default until the available input is used up."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

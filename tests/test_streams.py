@@ -1,12 +1,13 @@
 """Streams give the batch answer, whatever the micro-batches and however small the chunks."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from logcompact.operators import blocks, caps, loops
+from logcompact.operators import blocks, caps, loops, reports
 from logcompact.plans.compact import compact_plain
 from logcompact.streaming import history as H
 from logcompact.streaming import lines as L
@@ -97,3 +98,84 @@ def test_caps_owed_at_the_end(spark):
     state = spark.createDataFrame([(1, 5, True, None, None), (2, 5, False, 9, True), (3, 2, True, 1, True)], caps.CAP_STATE)
     owed = caps.close_caps(state, 3, 2)
     assert sorted((r.run_id, r.text) for r in owed.collect()) == [(1, "[3 more search hits]"), (2, "[6 more frames]")]
+
+
+def cut(spark, lines, rng, parts=4):
+    """Batches of the lines of runs, cut at random places, each run closed by a row of its own."""
+    schema = "run_id BIGINT, line_no BIGINT, text STRING, is_end BOOLEAN"
+    batches = [[] for _ in range(parts)]
+    for run, rows in lines.items():
+        edges = sorted(rng.randint(0, len(rows)) for _ in range(parts - 1))
+        for part, (low, high) in enumerate(zip([0, *edges], [*edges, len(rows)], strict=True)):
+            batches[part] += [(run, n, text, False) for n, text in rows[low:high]]
+        batches[parts - 1].append((run, 10**6, None, True))
+    return [spark.createDataFrame(rows, schema) for rows in batches]
+
+
+def compare(spark, tmp_path, rendered, lines, begin, summarize):
+    rng = random.Random(5)
+    out = feed(spark, tmp_path, cut(spark, lines, rng), lambda stream, *places: begin(stream, *places, size=3))
+    rows = [(r, n, t) for r, texts in lines.items() for n, t in texts]
+    whole = spark.createDataFrame(rows, "run_id BIGINT, line_no BIGINT, text STRING")
+    assert rendered(out, "place") == rendered(summarize(whole), "place")
+
+
+def test_tap(spark, tmp_path, rendered):
+    rng = random.Random(7)
+    texts = ["ok 1 - a", "ok 2 # SKIP b", "not ok 3 - c", "not ok 4", "---", " --- ", "1..7", "1..9", "x: y", "", None,
+             "1..99999999999999999999"]
+    lines = {run: list(enumerate(rng.choices(texts, k=rng.randint(1, 30)))) for run in range(60)}
+    compare(spark, tmp_path, rendered, lines, L.stream_tap_summary, reports.summarize_tap)
+
+
+def test_go_tests(spark, tmp_path, rendered):
+    rng = random.Random(8)
+
+    def line():
+        if rng.random() < 0.1:
+            return rng.choice(["panic", "", None, "null"])
+        event = {"Action": rng.choice(["output", "output", "output", "pass", "fail", "skip", "run"]), "Package": rng.choice("pq")}
+        test = rng.choice(["", "", "A", "B", "C"])
+        event |= {"Test": test} if test else {}
+        event |= {"Output": rng.choice(["o1\n", "o2\n", " \n"])} if event["Action"] == "output" else {}
+        event |= {"Elapsed": rng.choice([0, 1.5, 2.5])} if event["Action"] in ("pass", "fail") else {}
+        return json.dumps(event)
+
+    lines = {run: [(n, line()) for n in range(rng.randint(1, 40))] for run in range(60)}
+    compare(spark, tmp_path, rendered, lines, L.stream_test_summary, reports.summarize_test_events)
+
+
+@pytest.mark.parametrize("tests", [3, 300])
+def test_state_does_not_grow_with_passed_tests(spark, tmp_path, tests):
+    schema = "run_id BIGINT, line_no BIGINT, text STRING, is_end BOOLEAN"
+    go, tap = [], []
+    for n in range(tests):
+        for action in ("output", "pass"):
+            event = {"Action": action, "Package": "p", "Test": f"T{n}", "Output": "text\n"}
+            go.append((1, len(go), json.dumps(event), False))
+        tap.append((1, n, f"ok {n}", False))
+    go.append((1, len(go), json.dumps({"Action": "output", "Package": "p", "Test": "open", "Output": "o"}), False))
+    for name, rows, begin in (("go", go, L.stream_test_summary), ("tap", tap, L.stream_tap_summary)):
+        (tmp_path / name).mkdir()
+        feed(spark, tmp_path / name, [spark.createDataFrame(rows, schema)], begin)
+    held = {part: spark.read.parquet(str(tmp_path / part / "slot=0")).count()
+            for part in ("go/state/packages", "go/state/output", "tap/state/counts", "tap/state/open")}
+    assert set(held.values()) == {1}
+
+
+def test_savings(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.randint(0, 50), rng.choice([0.0, 12.5, 50.0]), rng.randint(0, 9),
+             rng.choice([True, False, None]), rng.choice([True, False, None])) for _ in range(90)]
+    schema = "cmd STRING, saved_tokens BIGINT, savings_pct DOUBLE, exec_ms BIGINT, bypassed BOOLEAN, exact_tokens BOOLEAN"
+    batches = [spark.createDataFrame(rows[n : n + 30], schema) for n in range(0, 90, 30)]
+    feed(spark, tmp_path, batches, lambda stream, _, out, checkpoint: H.stream_savings(stream, out, checkpoint))
+    found = {r.cmd: r for r in H.latest_totals(spark, str(tmp_path / "out")).collect()}
+    for cmd in "abc":
+        own = [r for r in rows if r[0] == cmd]
+        assert (found[cmd].runs, found[cmd].total_saved) == (len(own), sum(r[1] for r in own))
+        assert found[cmd].avg_exec_ms == sum(r[3] for r in own) // len(own)
+    appended = feed(
+        spark, tmp_path / "history", batches, lambda stream, _, out, checkpoint: H.stream_history(stream, out, checkpoint)
+    )
+    assert sorted(map(repr, appended.collect())) == sorted(map(repr, spark.createDataFrame(rows, schema).collect()))
