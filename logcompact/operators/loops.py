@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logcompact.functions.commands import command_key, is_excluded, is_security
-from logcompact.operators.ordered import CHUNK, running, streaks
+from logcompact.operators.ordered import ranged, running, streaks
+from logcompact.session import staged
 
 # Runs at most this far apart belong together; the third one is flagged.
 GAP_SECONDS = 300
 THRESHOLD = 3
 
-# A popular command can hold a third of all runs, so its runs are cut by time: an hour of one
-# command is a small sort, and a year of it is 8,760 summaries.
-BUCKET_SECONDS = 3600
-
 
 def _series(
     runs: DataFrame,
     gap_seconds: int,
     excluded: tuple[str, ...],
-    bucket_seconds: int,
+    pieces: int | None,
     seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Runs that count, numbered within their series."""
+    """Runs that count, numbered within their series.
+
+    A popular command can hold a third of all runs, and most of them in one hour, so its runs are cut into ranges of about
+    equal numbers of runs.
+    """
     counted = runs.where(
         ~is_security(F.col("command"), F.col("args")) & ~is_excluded(F.col("command"), excluded)
     ).select(
@@ -33,7 +34,7 @@ def _series(
         "ts",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"),
     )
-    counted = counted.withColumn(CHUNK, F.expr(f"_at div {int(bucket_seconds * 1_000_000)}"))
+    counted = ranged(staged(counted, "counted-runs"), ["key"], ["_at", "run_id"], "run-ranges", pieces)
     gap = int(gap_seconds * 1_000_000)
     if seed is not None:
         seed = seed.select("key", "n", F.unix_micros(F.col("ts").cast("timestamp")).alias("value"))
@@ -52,16 +53,17 @@ def loop_guard(
     gap_seconds: int = GAP_SECONDS,
     threshold: int = THRESHOLD,
     excluded: tuple[str, ...] = (),
-    bucket_seconds: int = BUCKET_SECONDS,
+    pieces: int | None = None,
     seed: DataFrame | None = None,
 ) -> DataFrame:
     """Count each run within its series of equal commands.
 
     Returns ``key, run_id, ts, count, loop``. A series ends when more than ``gap_seconds`` pass
     without the command. Runs that are bypassed for their command (security, excluded) do not
-    count and are left out. ``seed`` (key, n, ts) continues series that began earlier.
+    count and are left out. ``seed`` (key, n, ts) continues series that began earlier. ``pieces`` is the number of ranges
+    that all runs are cut into.
     """
-    seen = _series(runs, gap_seconds, excluded, bucket_seconds, seed)
+    seen = _series(runs, gap_seconds, excluded, pieces, seed)
     return seen.select(
         "key", "run_id", "ts", F.col("_s_n").alias("count"), (F.col("_s_n") >= threshold).alias("loop")
     )
@@ -71,14 +73,14 @@ def loop_sessions(
     runs: DataFrame,
     gap_seconds: int = GAP_SECONDS,
     excluded: tuple[str, ...] = (),
-    bucket_seconds: int = BUCKET_SECONDS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Totals per series of equal commands: (key, start, last_ts, runs).
 
     Built on the numbered runs rather than on session windows, which would bring all runs of one
     command into one task.
     """
-    seen = _series(runs, gap_seconds, excluded, bucket_seconds)
+    seen = _series(runs, gap_seconds, excluded, pieces)
     seen = running(
         seen, ["key"], ["_at", "run_id"], "max", "IF(_s_n = 1, _at, NULL)", "_began"
     )

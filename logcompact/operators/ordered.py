@@ -33,17 +33,30 @@ def chunked(rows: DataFrame, position: str = "line_no", size: int = CHUNK_ROWS)
     return rows.withColumn(CHUNK, F.expr(f"{position} div {int(size)}"))
 
 
+def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, pieces: int | None = None) -> DataFrame:
+    """Rows with chunks cut by count: ranges of (keys, order) that Spark samples to about equal numbers of rows.
+
+    For positions that say nothing of how many rows lie between them, such as time stamps. A key that holds many rows
+    spreads over as many chunks as its share of ``pieces`` (by default the shuffle partitions), equal places stay together.
+    The rows are staged, so that a chunk is the same for all who read them; they are read twice, once for the sample.
+    """
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(pieces, *keys, *order)
+    return staged(laid.withColumn(CHUNK, F.spark_partition_id().cast("bigint")), name)
+
+
 def merged_chunks(rows: DataFrame, keys: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
     """(keys, chunk, _merged, _chunks) of chunked rows: chunks put together in order until they hold ``size`` rows.
 
     Sparse positions leave few rows in a chunk of positions. A merged chunk has fewer than twice ``size`` rows, and
-    ``_chunks`` is how many of them the group has.
+    ``_chunks`` is how many of them the group has. There may be as many chunks of positions as rows, so they are counted
+    up in ranges.
     """
-    counts = rows.groupBy(*keys, CHUNK).agg(F.expr("count(1) AS _n"))
-    counts = with_exprs(counts, _merged=f"coalesce(sum(_n) OVER ({across_chunks(keys)} {BEFORE}), 0L) div {int(size)}")
-    counts = with_exprs(counts, _new=f"_merged IS DISTINCT FROM lag(_merged) OVER ({across_chunks(keys)})")
-    counts = with_exprs(counts, _chunks=f"count_if(_new) OVER (PARTITION BY {', '.join(keys)})")
-    return counts.drop("_n", "_new")
+    counts = rows.groupBy(*keys, CHUNK).agg(F.expr("count(1) AS _n")).withColumnRenamed(CHUNK, "_position")
+    counts = running(ranged(staged(counts, "chunk-counts"), keys, ["_position"], "chunk-ranges"), keys, ["_position"], "sum", "_n", "_before")
+    counts = staged(counts.selectExpr(*keys, "_position", f"_before div {int(size)} AS {CHUNK}"), "merged")
+    groups = counts.select(*keys, CHUNK).distinct().groupBy(*keys).agg(F.expr("count(1) AS _chunks"))
+    return attach(counts, groups, keys).selectExpr(*keys, f"_position AS {CHUNK}", f"{CHUNK} AS _merged", "_chunks")
 
 
 def laid_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -48,8 +48,8 @@ def test_dimensions(spark):
     assert registry.profile_map(spark).select("profile").distinct().count() == 19
 
 
-@pytest.mark.parametrize("bucket", [60, 3600])
-def test_loop_guard_counts_runs_close_in_time(spark, bucket):
+@pytest.mark.parametrize("pieces", [1, 9])
+def test_loop_guard_counts_runs_close_in_time(spark, pieces):
     rng = random.Random(5)
     runs, at = [], 0
     for i in range(300):
@@ -65,13 +65,28 @@ def test_loop_guard_counts_runs_close_in_time(spark, bucket):
         while count < len(times) and times[-count] - times[-count - 1] <= dt.timedelta(minutes=5):
             count += 1
         want[i] = (count, count >= 3)
-    got = {r.run_id: (r["count"], r.loop) for r in loops.loop_guard(frame, bucket_seconds=bucket).collect()}
+    got = {r.run_id: (r["count"], r.loop) for r in loops.loop_guard(frame, pieces=pieces).collect()}
     assert got == want
     sessions = loops.loop_sessions(frame)
     assert sessions.agg(F.sum("runs")).first()[0] == len(want)
     assert sessions.count() == sum(count == 1 for count, _ in want.values())
 
 
+def test_a_hot_hour_of_one_command_spreads_over_chunks(spark):
+    hot = spark.range(20_000).selectExpr("id AS run_id", "timestamp_millis(id * 100) AS ts", "'make' AS command", "'' AS args")
+    runs = hot.unionByName(spark.range(10).selectExpr("-1 - id", "timestamp_seconds(id * 400)", "'go'", "'vet'").toDF(*hot.columns))
+    series = loops._series(runs, 300, (), 16)
+    sizes = series.where("run_id >= 0").groupBy("_chunk").count().toPandas()["count"]
+    assert len(sizes) >= 12 and sizes.max() < 4_000
+    got = loops.loop_guard(runs, pieces=16)
+    assert got.where("run_id >= 0 AND count <> run_id + 1").count() == 0
+    assert got.where("run_id < 0 AND count = 1").count() == 10
+    ends = loops.loop_sessions(runs, pieces=16).where("runs > 1").collect()
+    assert [(r.runs, r.start, r.last_ts) for r in ends] == [
+        (20_000, dt.datetime(1970, 1, 1), dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=1_999_900))
+    ]
+
+
 def record(spark, rows):
     names = ["run_id", "ts", "cmd", "args", "raw_tokens", "filtered_tokens", "exec_ms", "bypassed", "exact_tokens"]
     frame = spark.createDataFrame(rows, "run_id BIGINT, ts TIMESTAMP, cmd STRING, args STRING, raw_tokens BIGINT, "
