@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logcompact.functions.automata import BEFORE, TooLarge, automaton, composed
@@ -357,40 +357,63 @@ def _composed(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.select(*keys, first["line_no"].alias("line_no"), whole.alias("map"))
 
 
-def head_lines(lines: DataFrame, n: int | Column, most: int | None = None, order: str = "line_no") -> DataFrame:
-    """The first n lines of each run. With a column n, ``most`` bounds it.
-
-    The literal bound lets Spark drop surplus rows before the shuffle, so a run of any length
-    sends at most that many rows per map task.
-    """
-    return _ranked(lines, F.col(order).asc(), n, most)
+def head_lines(lines: DataFrame, n: int | Column, size: int = CHUNK_ROWS) -> DataFrame:
+    """The first n lines of each run; n may be a column that is the same for all lines of a run."""
+    return _within(lines, n, None, size)
 
 
-def tail_lines(lines: DataFrame, n: int | Column, most: int | None = None, order: str = "line_no") -> DataFrame:
+def tail_lines(lines: DataFrame, n: int | Column, size: int = CHUNK_ROWS) -> DataFrame:
     """The last n lines of each run."""
-    return _ranked(lines, F.col(order).desc(), n, most)
+    return _within(lines, None, n, size)
+
 
+def _within(lines: DataFrame, head: int | Column | None, tail: int | Column | None, size: int = CHUNK_ROWS) -> DataFrame:
+    """Of the first ``head`` lines of each run the last ``tail``; null and None mean no limit.
 
-def _ranked(lines: DataFrame, order: Column, n: int | Column, most: int | None) -> DataFrame:
-    most = n if isinstance(n, int) else most
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(order))
-    ranked = lines.withColumn("_place", place).where(F.col("_place") <= most)
-    if not isinstance(n, int):
-        ranked = ranked.where(F.col("_place") <= n)
-    return ranked.drop("_place")
+    Lines are counted per chunk, which tells the chunks that the cuts fall in; only their line numbers are ranked. The text
+    is read once and neither sorted nor sent to one task by run. Lines that share a number stay or go together: all stay if one does.
+    """
+    columns = lines.columns
+    rows = lines if CHUNK in columns else chunked(lines, "line_no", size)
+    rows = rows.withColumns({"_head": _limit(head), "_tail": _limit(tail)})
+    limited = rows.where("_head IS NOT NULL OR _tail IS NOT NULL")
+    counts = limited.groupBy("run_id", CHUNK).agg(
+        F.expr("count(1) AS _n"), F.first("_head").alias("_head"), F.first("_tail").alias("_tail")
+    )
+    up_to, run = f"PARTITION BY run_id ORDER BY {CHUNK}", "PARTITION BY run_id"
+    counts = counts.withColumns({
+        "_base": F.expr(f"sum(_n) OVER ({up_to}) - _n"),
+        "_end": F.expr(f"least(sum(_n) OVER ({run}), coalesce(_head, sum(_n) OVER ({run})))"),
+    })
+    counts = counts.withColumn("_begin", F.expr("greatest(_end - coalesce(_tail, _end), 0L)"))
+    # Lines _begin to _end of the run are kept: a chunk is kept, left out, or cut at a line.
+    chunks = staged(counts.select("run_id", CHUNK, "_n", "_base", "_begin", "_end"), "limits")
+    cut = chunks.where("(_base < _begin AND _begin < _base + _n) OR (_base < _end AND _end < _base + _n)")
+    numbers = limited.select("run_id", CHUNK, "line_no").join(cut, ["run_id", CHUNK])
+    place = f"_base + row_number() OVER (PARTITION BY run_id, {CHUNK} ORDER BY line_no)"
+    numbers = numbers.withColumn("_place", F.expr(place)).groupBy("run_id", CHUNK).agg(
+        F.expr("max(IF(_place = _begin + 1, line_no, NULL)) AS _low"),
+        F.expr("max(IF(_place = _end, line_no, NULL)) AS _high"),
+    )
+    kept = chunks.where("_begin < _base + _n AND _base < _end").select("run_id", CHUNK)
+    kept = staged(kept.join(numbers, ["run_id", CHUNK], "left").withColumn("_kept", F.lit(True)), "cuts")
+    found = rows.join(kept, ["run_id", CHUNK], "left")
+    inside = "_kept AND (_low IS NULL OR line_no >= _low) AND (_high IS NULL OR line_no <= _high)"
+    return found.where(f"(_head IS NULL AND _tail IS NULL) OR ({inside})").select(*columns)
 
 
-def limit_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _limit(n: int | Column | None) -> Column:
+    return (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+
+
+def limit_lines(lines: DataFrame, rules: Sequence[Rule], size: int = CHUNK_ROWS) -> DataFrame:
     """Stages seven and eight: the first max_lines lines, and of those the last tail_lines."""
-    for field, cut in (("max_lines", head_lines), ("tail_lines", tail_lines)):
-        most = max((getattr(rule, field) for rule in rules), default=0)
-        if most <= 0:
-            continue
-        limit = by_rule(rules, lambda r, f=field: max(getattr(r, f), 0), 0)
-        lines = lines.withColumn("_limit", limit)
-        free = lines.where("_limit = 0")
-        lines = free.unionByName(cut(lines.where("_limit > 0"), F.col("_limit"), most)).drop("_limit")
-    return lines
+    head, tail = (
+        F.nullif(by_rule(rules, lambda r, f=field: max(getattr(r, f), 0), 0), F.lit(0)) for field in ("max_lines", "tail_lines")
+    )
+    if all(rule.max_lines <= 0 and rule.tail_lines <= 0 for rule in rules):
+        return lines
+    return _within(lines, head, tail, size)
 
 
 def on_empty(runs: DataFrame, output: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -424,8 +447,8 @@ def apply_rules(
         lines = attach(lines, settled).where("_settled IS NULL").drop("_settled")
     kept = keep_lines(strip_lines(lines, rules), rules)
     kept = truncate_lines(kept, rules).select("run_id", "rule", "line_no", "text", CHUNK)
-    # Most of the output is gone here, and the limits below read it once per kind of limit.
-    kept = limit_lines(staged(kept, "kept"), rules)
+    # Most of the output is gone here; the limits count its lines before they read them.
+    kept = limit_lines(staged(kept, "kept"), rules, size)
     left = runs.join(replaced.select("run_id"), "run_id", "left_anti")
     return (
         kept.select("run_id", F.col("line_no").alias("pos"), F.lit("line").alias("kind"), "text")

@@ -188,3 +188,27 @@ match_output = [{ pattern = "(?s)a.{20}b.*c", message = "m" }]""").rules
     lines = U.chunked(lines_of({1: "a"})).withColumn("rule", U.F.lit(0))
     with pytest.raises(UnsupportedPattern, match="states"):
         U.match_output(runs, lines, rules)
+
+
+def test_limits_are_counted_by_chunk(spark):
+    """First and last lines against slices, over dense, sparse and one-line chunks, with limits by run."""
+    rng = __import__("random").Random(3)
+    numbers = {run: sorted(rng.sample(range(1, 400), rng.choice([1, 2, 9, 60]))) for run in range(12)}
+    rows = [(run, n, f"t{n}", run % 4 or None, run % 3 or None) for run, found in numbers.items() for n in found]
+    lines = spark.createDataFrame(rows, "run_id BIGINT, line_no BIGINT, text STRING, h INT, t INT")
+    for size in (1, 7, 100, 1000):
+        for n in (0, 1, 5, 100):
+            got = {(r.run_id, r.line_no) for r in U.head_lines(lines, n, size).collect()}
+            assert got == {(run, x) for run, found in numbers.items() for x in found[:n]}
+            got = {(r.run_id, r.line_no) for r in U.tail_lines(lines, n, size).collect()}
+            assert got == {(run, x) for run, found in numbers.items() for x in found[len(found) - min(n, len(found)):]}
+        both = U._within(lines, U.F.col("h"), U.F.col("t"), size)
+        assert both.columns == lines.columns
+        want = set()
+        for run, found in numbers.items():
+            head = found[: run % 4 or None]
+            want |= {(run, x) for x in head[-(run % 3 or len(head)):]}
+        assert {(r.run_id, r.line_no) for r in both.collect()} == want
+    assert U.head_lines(lines.where("false"), 3).count() == 0
+    doubled = lines.where("run_id = 0").limit(1).unionByName(lines.where("run_id = 0").limit(1))
+    assert U.head_lines(doubled, 1).count() == 2
