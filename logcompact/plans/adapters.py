@@ -124,6 +124,19 @@ UNION ALL
 SELECT user_id, 1000000000000, CASE WHEN user_id % 13 = 0 THEN '</broken>' ELSE '</testsuite>' END
 FROM events GROUP BY user_id"""
 
+# Four runs a user, days apart: plain lines, go-test events, TAP (mostly with its header) and JUnit.
+MIXED_RUNS = " UNION ALL ".join(
+    f"""SELECT run_id * 4 + {k} AS run_id, ts + INTERVAL {40 * k} DAY AS ts, command, args, exit_code, exec_ms, no_filter
+FROM ({USER_RUNS}) u{k}"""
+    for k in range(4)
+)
+MIXED_LINES = f"""
+SELECT run_id * 4 AS run_id, line_no, text FROM ({USER_LINES}) p
+UNION ALL SELECT run_id * 4 + 1, line_no, text FROM ({USER_TESTS}) e
+UNION ALL SELECT run_id * 4 + 2, line_no, text FROM ({USER_TAP}) t
+UNION ALL SELECT user_id * 4 + 2, -1, 'TAP version 14' FROM events WHERE user_id % 5 <> 0 GROUP BY user_id
+UNION ALL SELECT run_id * 4 + 3, line_no, text FROM ({USER_JUNIT}) j"""
+
 RULES_TOML = r'''
 [filters.git-target]
 match_command = "^git\\b"

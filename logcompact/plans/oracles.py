@@ -96,9 +96,14 @@ PROFILE = (
     + " END"
 )
 
-USER_PROFILED = f"""
-SELECT l.run_id, l.line_no, l.text, r.profile FROM ({A.USER_LINES}) l
-JOIN (SELECT run_id, {PROFILE} AS profile FROM ({A.USER_RUNS}) u) r USING (run_id)"""
+
+def profiled_sql(runs: str, lines: str) -> str:
+    return f"""
+SELECT l.run_id, l.line_no, l.text, r.profile FROM ({lines}) l
+JOIN (SELECT run_id, {PROFILE} AS profile FROM ({runs}) u) r USING (run_id)"""
+
+
+USER_PROFILED = profiled_sql(A.USER_RUNS, A.USER_LINES)
 
 W = "(PARTITION BY run_id ORDER BY line_no)"
 FLAGGED = f"""
@@ -366,13 +371,17 @@ FROM (SELECT n.*, category, typical_pct, CAST(CASE WHEN trimmed = '' THEN 1 WHEN
    WHEN category IS NULL THEN 1 WHEN {INTERACTIVE} THEN 1 ELSE 0 END AS INT) AS verdict
   FROM ({NORMALIZED}) n LEFT JOIN (SELECT col0 AS base, col1 AS category, CAST(col2 AS DOUBLE) AS typical_pct FROM (VALUES {REGISTRY}) v) r USING (base)) x"""
 
-EVENTS_PARSED = f"""
+def events_sql(lines: str) -> str:
+    return f"""
 SELECT run_id, line_no, text, good, json_extract_string(j, '$.Action') AS action, json_extract_string(j, '$.Package') AS package,
   coalesce(json_extract_string(j, '$.Test'), '') AS test, coalesce(json_extract_string(j, '$.Output'), '') AS output,
   CAST(json_extract(j, '$.Elapsed') AS DOUBLE) AS elapsed
 FROM (SELECT *, CASE WHEN good THEN text END AS j FROM (
   SELECT run_id, line_no, text, CASE WHEN json_valid(text) THEN json_type(text, '$.Elapsed') IN ('DOUBLE', 'UBIGINT', 'BIGINT')
-    ELSE false END AS good FROM ({A.USER_TESTS}) t) v) w"""
+    ELSE false END AS good FROM ({lines}) t) v) w"""
+
+
+EVENTS_PARSED = events_sql(A.USER_TESTS)
 
 PACKAGES = """
 SELECT run_id, package, count(*) FILTER (test <> '' AND action = 'pass') AS passed,
@@ -381,7 +390,9 @@ SELECT run_id, package, count(*) FILTER (test <> '' AND action = 'pass') AS pass
   bool_or(test = '' AND action = 'fail') AS pkg_failed, min(line_no) AS first_line
 FROM parsed WHERE good GROUP BY run_id, package"""
 
-TEST_SUMMARY = f"""WITH parsed AS ({EVENTS_PARSED}),
+
+def test_summary_sql(lines: str) -> str:
+    return f"""WITH parsed AS ({events_sql(lines)}),
 packages AS (SELECT *, NOT pkg_failed AND failed = 0 AS ok,
    CASE WHEN elapsed > 0 THEN printf(' (%.3fs)', elapsed) ELSE '' END AS took FROM ({PACKAGES}) p),
 kept AS (SELECT e.run_id, e.package, p.first_line, e.test, e.line_no, rtrim(e.output, chr(10)) AS text,
@@ -398,7 +409,12 @@ UNION ALL SELECT run_id, 1, first_line, test_line, 0, '  --- FAIL: ' || test FRO
 UNION ALL SELECT run_id, 1, first_line, CASE WHEN test = '' THEN {(1 << 62) - 1} ELSE test_line END, line_no,
    CASE WHEN test = '' THEN text ELSE '    ' || text END FROM kept WHERE trim(text) <> ''"""
 
-TAP_SUMMARY = f"""WITH t AS (SELECT run_id, line_no, trim(text) AS line FROM ({A.USER_TAP}) x),
+
+TEST_SUMMARY = test_summary_sql(A.USER_TESTS)
+
+
+def tap_summary_sql(lines: str) -> str:
+    return f"""WITH t AS (SELECT run_id, line_no, trim(text) AS line FROM ({lines}) x),
 m AS (SELECT *, regexp_matches(line, '^1\\.\\.\\d+') AS plan,
    coalesce(sum((line = '---')::INT) OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM t),
 k AS (SELECT *, CASE WHEN plan THEN 'plan' WHEN line = '---' THEN 'mark' WHEN inside THEN 'diag'
@@ -413,6 +429,9 @@ SELECT run_id, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT)
 UNION ALL SELECT run_id, 1, owner, 0, line_no, '  not ok: ' || trim(regexp_extract(line, '^not ok\\s+(\\d+)\\s*-?\\s*(.*)', 2)) FROM o WHERE what = 'fail'
 UNION ALL SELECT run_id, 1, owner, 1, line_no, '  ' || line FROM o WHERE what = 'diag' AND owner > 0"""
 
+
+TAP_SUMMARY = tap_summary_sql(A.USER_TAP)
+
 JUNIT_SUMMARY = f"""WITH u AS (SELECT user_id AS run_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY user_id),
 x AS (SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS case_no, event_type FROM events
       WHERE user_id % 13 <> 0)
@@ -423,21 +442,62 @@ UNION ALL SELECT run_id, 1, 0, case_no, r, CASE r WHEN 0 THEN '  FAIL: c.t' || e
 UNION ALL SELECT run_id, 0, line_no, 0, 0, text FROM ({A.USER_JUNIT}) j WHERE run_id % 13 = 0
 UNION ALL SELECT run_id, 2, 0, 0, 0, '' FROM u WHERE run_id % 13 = 0"""
 
-# Routing and the composite use the user runs; their text needs no report format.
-ROUTES = f"""WITH loops AS ({loop_sql(A.USER_RUNS)}),
-routed AS (SELECT u.run_id, {rule_choice(A.RULES)} AS rule, 'plain' AS kind,
+KIND = """CASE WHEN starts_with(trim(text), '<?xml') OR starts_with(trim(text), '<testsuite') THEN 'junit'
+   WHEN starts_with(trim(text), 'TAP version') THEN 'tap'
+   WHEN starts_with(trim(text), '{') AND json_valid(text) AND json_extract(CASE WHEN json_valid(text) THEN text END, '$.Action') IS NOT NULL
+   THEN 'ndjson' ELSE 'plain' END"""
+
+
+def routes_sql(runs: str, lines: str) -> str:
+    return f"""WITH loops AS ({loop_sql(runs)}),
+firsts AS (SELECT run_id, {KIND} AS kind FROM (SELECT run_id, arg_min(text, line_no) AS text FROM ({lines}) l GROUP BY run_id) f),
+routed AS (SELECT u.run_id, {rule_choice(A.RULES)} AS rule, kind,
    {SECURITY} OR lower(command) = 'cargo' AND args = 'never' OR coalesce(loop, false) OR no_filter AS bypassed
-   FROM ({A.USER_RUNS}) u LEFT JOIN loops USING (run_id))
+   FROM ({runs}) u JOIN firsts USING (run_id) LEFT JOIN loops USING (run_id))
 SELECT run_id, CAST(rule AS INT) AS rule, kind, bypassed,
    CASE WHEN bypassed THEN 'bypass' WHEN rule IS NOT NULL THEN 'rule' ELSE kind END AS branch FROM routed"""
 
-PLAIN_LINES = f"""SELECT l.* FROM ({USER_PROFILED}) l WHERE text <> '' AND NOT {suppressed('text')}"""
 
-COMPACT_CTES = f"""WITH routes AS ({ROUTES}),
-{place_ctes(PLAIN_LINES + " AND run_id IN (SELECT run_id FROM routes WHERE branch = 'plain')")},
+def plain_lines_sql(runs: str, lines: str) -> str:
+    return f"SELECT l.* FROM ({profiled_sql(runs, lines)}) l WHERE text <> '' AND NOT {suppressed('text')}"
+
+
+def compact_ctes(runs: str, lines: str) -> str:
+    """CTEs ending in ``capped`` (plain and bypassed runs) and ``rules_out``."""
+    return f"""WITH routes AS ({routes_sql(runs, lines)}),
+{place_ctes(plain_lines_sql(runs, lines) + " AND run_id IN (SELECT run_id FROM routes WHERE branch = 'plain')")},
 {FOLD_CTES}, {BLOCK_CTES},
 compacted AS (SELECT run_id, pos, text FROM folded UNION ALL SELECT run_id, pos, text FROM blocks
-   UNION ALL SELECT run_id, line_no * 2, text FROM ({A.USER_LINES}) l WHERE run_id IN (SELECT run_id FROM routes WHERE branch = 'bypass')),
+   UNION ALL SELECT run_id, line_no * 2, text FROM ({lines}) l WHERE run_id IN (SELECT run_id FROM routes WHERE branch = 'bypass')),
 {caps_ctes('compacted')},
-{rules_ctes("SELECT run_id, rule FROM routes WHERE branch = 'rule'", A.USER_LINES)},
+{rules_ctes("SELECT run_id, rule FROM routes WHERE branch = 'rule'", lines)}"""
+
+
+def history_sql(ctes: str, runs: str, lines: str) -> str:
+    return f"""{ctes}, raw AS (SELECT run_id, sum(strlen(text) + 1) AS n FROM ({lines}) l GROUP BY run_id),
+    kept AS (SELECT run_id, sum(strlen(text) + 1) AS n FROM output_lines GROUP BY run_id)
+    SELECT r.run_id, command AS cmd, args, CAST(raw.n AS BIGINT) AS raw_bytes, CAST(coalesce(kept.n, 0) AS BIGINT) AS filtered_bytes,
+    CAST(greatest(raw.n // 4 - coalesce(kept.n, 0) // 4, 0) AS BIGINT) AS saved_tokens, routes.bypassed
+    FROM ({runs}) r JOIN raw USING (run_id) LEFT JOIN kept USING (run_id) JOIN routes USING (run_id)"""
+
+
+PLAIN_LINES = plain_lines_sql(A.USER_RUNS, A.USER_LINES)
+ROUTES = routes_sql(A.USER_RUNS, A.USER_LINES)
+COMPACT_CTES = f"""{compact_ctes(A.USER_RUNS, A.USER_LINES)},
 output_lines AS (SELECT run_id, pos AS place, text FROM capped UNION ALL SELECT run_id, pos, text FROM rules_out)"""
+
+# Runs of every format: all six branches, and the whole place of a line.
+MIXED_ROUTES = routes_sql(A.MIXED_RUNS, A.MIXED_LINES)
+
+
+def _of_branch(branch: str) -> str:
+    return f"SELECT run_id, line_no, text FROM ({A.MIXED_LINES}) l WHERE run_id IN (SELECT run_id FROM routes WHERE branch = '{branch}')"
+
+
+MIXED_CTES = f"""{compact_ctes(A.MIXED_RUNS, A.MIXED_LINES)},
+output_lines AS (SELECT run_id, pos AS a, 0 AS b, 0 AS c, 0 AS d, text FROM capped
+   UNION ALL SELECT run_id, pos, 0, 0, 0, text FROM rules_out
+   UNION ALL SELECT * FROM ({test_summary_sql(_of_branch('ndjson'))}) e
+   UNION ALL SELECT * FROM ({tap_summary_sql(_of_branch('tap'))}) t
+   UNION ALL SELECT * FROM (SELECT run_id * 4 + 3 AS run_id, a, b, c, d, text FROM ({JUNIT_SUMMARY}) s) j
+      WHERE run_id IN (SELECT run_id FROM routes WHERE branch = 'junit'))"""

@@ -622,19 +622,38 @@ def _compact(spark: SparkSession, folder: str) -> DataFrame:
     return found.lines.select("run_id", F.col("place.a").alias("place"), "text")
 
 
-@query(
-    f"""{O.COMPACT_CTES}, raw AS (SELECT run_id, sum(strlen(text) + 1) AS n FROM ({A.USER_LINES}) l GROUP BY run_id),
-    kept AS (SELECT run_id, sum(strlen(text) + 1) AS n FROM output_lines GROUP BY run_id)
-    SELECT r.run_id, command AS cmd, args, CAST(raw.n AS BIGINT) AS raw_bytes, CAST(coalesce(kept.n, 0) AS BIGINT) AS filtered_bytes,
-    CAST(greatest(raw.n // 4 - coalesce(kept.n, 0) // 4, 0) AS BIGINT) AS saved_tokens, routes.bypassed
-    FROM ({A.USER_RUNS}) r JOIN raw USING (run_id) LEFT JOIN kept USING (run_id) JOIN routes USING (run_id)""",
-    "compact_history",
-)
+@query(O.history_sql(O.COMPACT_CTES, A.USER_RUNS, A.USER_LINES), "compact_history")
 def _compact_history(spark: SparkSession, folder: str) -> DataFrame:
     found = compact(_user_runs(spark, folder), _user_lines(spark, folder), A.RULES, A.PROJECT_RULES)
     return found.history.select("run_id", "cmd", "args", "raw_bytes", "filtered_bytes", "saved_tokens", "bypassed")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and lines of every format."""
+    return A.adapted(spark, folder, A.MIXED_RUNS), A.adapted(spark, folder, A.MIXED_LINES)
+
+
+@query(f"SELECT run_id, line_no, {O.KIND} AS kind FROM ({A.MIXED_LINES}) l")
+def detect_kind_of_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1].select("run_id", "line_no", T.detect_kind(F.col("text")).alias("kind"))
+
+
+@query(O.MIXED_ROUTES)
+def route_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return route_runs(*_mixed(spark, folder), A.RULES)
+
+
+@query(f"{O.MIXED_CTES} SELECT run_id, a, b, c, d, text FROM output_lines")
+def compact_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _placed(compact(*_mixed(spark, folder), A.RULES, A.PROJECT_RULES).lines)
+
+
+@query(O.history_sql(O.MIXED_CTES, A.MIXED_RUNS, A.MIXED_LINES))
+def compact_mixed_history(spark: SparkSession, folder: str) -> DataFrame:
+    found = compact(*_mixed(spark, folder), A.RULES, A.PROJECT_RULES)
+    return found.history.select("run_id", "cmd", "args", "raw_bytes", "filtered_bytes", "saved_tokens", "bypassed")
+
+
 # --- streams: a file source read to its end, compared with the batch answer -------------------
 
 
