@@ -7,13 +7,14 @@ as literals, which a task compiles once; a pattern column would be compiled agai
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logcompact.functions.automata import BEFORE, TooLarge, automaton, composed
+from logcompact.functions.automata import BEFORE, Automaton, TooLarge, automaton, composed
 from logcompact.functions.commands import full_command
 from logcompact.functions.dialect import Pattern, UnsupportedPattern, any_of, to_java, translate
 from logcompact.functions.text import replace_chain, strip_ansi, truncate_bytes
@@ -153,8 +154,7 @@ def match_output(runs: DataFrame, lines: DataFrame, rules: Sequence[Rule]) -> Da
     local = [place for place in with_entries if place not in crossing]
     whole = [place for place in crossing if newlines(place) is None]
     blocks = [place for place in crossing if place not in whole]
-    most = max(len(rules[place].match_output) for place in with_entries)
-    slots = [(number, part) for number in range(most) for part in ("pattern", "unless")]
+    slots = entry_slots(rules)
 
     answers = []
     if local:
@@ -163,11 +163,27 @@ def match_output(runs: DataFrame, lines: DataFrame, rules: Sequence[Rule]) -> Da
         reach = max(newlines(place) for place in blocks)
         answers.append(_block_answers(lines.where(F.col("rule").isin(blocks)), rules, blocks, slots, reach))
     if whole:
-        answers.append(_automaton_answers(lines.where(F.col("rule").isin(whole)), rules, whole, slots))
+        machines = entry_machines(rules, whole)
+        maps = automaton_maps(lines.where(F.col("rule").isin(whole)), machines)
+        states = maps.select("run_id", "slot", F.element_at("map", BEFORE + 1).alias("state"))
+        answers.append(automaton_answers(states, machines, slots))
     answered = answers[0]
     for more in answers[1:]:
         answered = answered.unionByName(more)
 
+    return decided(runs, answered, rules)
+
+
+def entry_slots(rules: Sequence[Rule]) -> list[tuple[int, str]]:
+    """(number, part) of all match_output entries."""
+    most = max((len(rule.match_output) for rule in rules), default=0)
+    return [(number, part) for number in range(most) for part in ("pattern", "unless")]
+
+
+def decided(runs: DataFrame, answered: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The message of the first entry that applies, from the answers per run (run_id, _pattern0, _unless0, ...)."""
+    with_entries = [place for place, rule in enumerate(rules) if rule.match_output]
+    most = max((len(rules[place].match_output) for place in with_entries), default=0)
     # A run without lines has the empty output.
     takers = runs.where(F.col("rule").isin(with_entries)).select("run_id", "rule")
     joined = takers.join(answered, "run_id", "left")
@@ -266,26 +282,36 @@ def _block_answers(
     )
 
 
-def _automaton_answers(
-    lines: DataFrame, rules: Sequence[Rule], places: Sequence[int], slots: Sequence[tuple[int, str]]
-) -> DataFrame:
-    """Answers for any patterns, without their text in one place.
+class Machine(NamedTuple):
+    """The automaton of one part of a rule's match_output entry."""
+
+    place: int
+    number: int
+    part: str
+    automaton: Automaton
+
+
+def entry_machines(rules: Sequence[Rule], places: Sequence[int]) -> list[Machine]:
+    """Automata of all patterns of some rules; those that would be too large are refused."""
+    machines = []
+    for place in places:
+        for number, entry in enumerate(rules[place].match_output):
+            for part in ("pattern", "unless"):
+                source = getattr(entry, part)
+                if source:
+                    try:
+                        machines.append(Machine(place, number, part, automaton(source)))
+                    except TooLarge as error:
+                        raise UnsupportedPattern(str(error)) from error
+    return machines
+
+
+def automaton_maps(lines: DataFrame, machines: Sequence[Machine]) -> DataFrame:
+    """What the lines of a run do to the states of its rule's automata: (run_id, slot, map), slots being places in ``machines``.
 
     A pattern's automaton takes each state to some state over a stretch of lines; such maps are worked out per task and
     chunk, composed by chunk, by ranges of chunks and by run, and the run's map tells where its text leads from the start.
     """
-    sources: list[tuple[int, int, str]] = []
-    machines = []
-    for place in places:
-        for number, part in slots:
-            entries = rules[place].match_output
-            source = getattr(entries[number], part) if number < len(entries) else ""
-            if source:
-                try:
-                    machines.append(automaton(source))
-                except TooLarge as error:
-                    raise UnsupportedPattern(str(error)) from error
-                sources.append((place, number, part))
     run_type = dict(lines.dtypes)["run_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +328,9 @@ def _automaton_answers(
             found = []
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=True):
                 texts, place = table.column(4)[a:b].to_pylist(), table.column(3)[a].as_py()
-                for slot, (of, _, _) in enumerate(sources):
-                    if of == place:
-                        found.append((a, slot, _map_of(machines[slot], texts)))
+                for slot, machine in enumerate(machines):
+                    if machine.place == place:
+                        found.append((a, slot, _map_of(machine.automaton, texts)))
             at = pa.array([a for a, _, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [table.column(k).take(at).combine_chunks() for k in range(3)]
@@ -321,15 +347,19 @@ def _automaton_answers(
         maps = _composed(maps, keys)
         if CHUNK in keys:
             maps = maps.select("run_id", "slot", wider, "line_no", "map")
-    state = F.element_at("map", BEFORE + 1)
+    return maps.select("run_id", "slot", "map")
+
+
+def automaton_answers(states: DataFrame, machines: Sequence[Machine], slots: Sequence[tuple[int, str]]) -> DataFrame:
+    """Answers per run from the states (run_id, slot, state) that its text has led to."""
     ended: Column | None = None
     for slot, machine in enumerate(machines):
-        test = state.isin(np.flatnonzero(machine.ends).tolist())
+        test = F.col("state").isin(np.flatnonzero(machine.automaton.ends).tolist())
         ended = F.when(F.col("slot") == slot, test) if ended is None else ended.when(F.col("slot") == slot, test)
-    told = maps.withColumn("_found", ended)
+    told = states.withColumn("_found", F.lit(None).cast("boolean") if ended is None else ended)
 
     def answer(number: int, part: str) -> Column:
-        own = [k for k, (_, n, p) in enumerate(sources) if (n, p) == (number, part)]
+        own = [k for k, m in enumerate(machines) if (m.number, m.part) == (number, part)]
         return F.max(F.when(F.col("slot").isin(own), F.col("_found"))).alias(f"_{part}{number}")
 
     return told.groupBy("run_id").agg(*(answer(number, part) for number, part in slots))
@@ -359,15 +389,15 @@ def _composed(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def head_lines(lines: DataFrame, n: int | Column, size: int = CHUNK_ROWS) -> DataFrame:
     """The first n lines of each run; n may be a column that is the same for all lines of a run."""
-    return _within(lines, n, None, size)
+    return lines_within(lines, n, None, size)
 
 
 def tail_lines(lines: DataFrame, n: int | Column, size: int = CHUNK_ROWS) -> DataFrame:
     """The last n lines of each run."""
-    return _within(lines, None, n, size)
+    return lines_within(lines, None, n, size)
 
 
-def _within(lines: DataFrame, head: int | Column | None, tail: int | Column | None, size: int = CHUNK_ROWS) -> DataFrame:
+def lines_within(lines: DataFrame, head: int | Column | None, tail: int | Column | None, size: int = CHUNK_ROWS) -> DataFrame:
     """Of the first ``head`` lines of each run the last ``tail``; null and None mean no limit.
 
     Lines are counted per chunk, which tells the chunks that the cuts fall in; only their line numbers are ranked. The text
@@ -413,7 +443,7 @@ def limit_lines(lines: DataFrame, rules: Sequence[Rule], size: int = CHUNK_ROWS)
     )
     if all(rule.max_lines <= 0 and rule.tail_lines <= 0 for rule in rules):
         return lines
-    return _within(lines, head, tail, size)
+    return lines_within(lines, head, tail, size)
 
 
 def on_empty(runs: DataFrame, output: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -452,12 +482,12 @@ def apply_rules(
     left = runs.join(replaced.select("run_id"), "run_id", "left_anti")
     return (
         kept.select("run_id", F.col("line_no").alias("pos"), F.lit("line").alias("kind"), "text")
-        .unionByName(_messages(replaced.where("message <> ''")))
-        .unionByName(_messages(on_empty(left, kept, rules)))
+        .unionByName(message_rows(replaced.where("message <> ''")))
+        .unionByName(message_rows(on_empty(left, kept, rules)))
     )
 
 
-def _messages(rows: DataFrame) -> DataFrame:
+def message_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "run_id",
         F.lit(1).cast("bigint").alias("pos"),

@@ -24,6 +24,7 @@ from logcompact.sources.history import defaults, read_history
 from logcompact.sources.lines import read_log_lines
 from logcompact.streaming import history as history_streams
 from logcompact.streaming import lines as streams
+from logcompact.streaming import rules as rule_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -752,6 +753,16 @@ def _stream_compact_blanks(spark: SparkSession, folder: str) -> DataFrame:
     return _stream_plain(spark, folder, True)
 
 
+@query(O.APPLY_RULES, "stream_apply_rules")
+def _stream_rules(spark: SparkSession, folder: str) -> DataFrame:
+    runs = _user_runs(spark, folder).select("run_id", "command", "args")
+    lines = attach(chunked(_user_lines(spark, folder)), runs).select("run_id", "line_no", "text", "command", "args")
+    _, out = _feed(
+        spark, "rules", _line_parts(lines), lambda stream, *places: rule_streams.stream_apply_rules(stream, A.RULES, *places)
+    )
+    return spark.read.parquet(out).select("run_id", "pos", "kind", "text")
+
+
 @query(O.TEST_SUMMARY, "stream_test_summary")
 def _stream_tests(spark: SparkSession, folder: str) -> DataFrame:
     parts = _line_parts(A.adapted(spark, folder, A.USER_TESTS))

@@ -202,7 +202,7 @@ def test_limits_are_counted_by_chunk(spark):
             assert got == {(run, x) for run, found in numbers.items() for x in found[:n]}
             got = {(r.run_id, r.line_no) for r in U.tail_lines(lines, n, size).collect()}
             assert got == {(run, x) for run, found in numbers.items() for x in found[len(found) - min(n, len(found)):]}
-        both = U._within(lines, U.F.col("h"), U.F.col("t"), size)
+        both = U.lines_within(lines, U.F.col("h"), U.F.col("t"), size)
         assert both.columns == lines.columns
         want = set()
         for run, found in numbers.items():

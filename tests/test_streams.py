@@ -8,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from logcompact.operators import blocks, caps, loops, reports
+from logcompact.operators import rules as U
 from logcompact.plans.compact import compact_plain
 from logcompact.streaming import history as H
+from logcompact.sources.control import parse_rules
 from logcompact.streaming import lines as L
+from logcompact.streaming import rules as R
 
 TEXTS = [
     "step 1", "step 2", "error: x", "a.go:1:2: m", "b.go:2: n", "b.go:3: o", "", "", "✓ a", "✓ b",
@@ -179,3 +182,69 @@ def test_savings(spark, tmp_path):
         spark, tmp_path / "history", batches, lambda stream, _, out, checkpoint: H.stream_history(stream, out, checkpoint)
     )
     assert sorted(map(repr, appended.collect())) == sorted(map(repr, spark.createDataFrame(rows, schema).collect()))
+
+
+STAGES = parse_rules(r"""
+[filters.r0]
+match_command = "^r0"
+strip_lines_matching = ["^b"]
+max_lines = 4
+on_empty = "r0: empty"
+[filters.r1]
+match_command = "^r1"
+keep_lines_matching = ["a", "b"]
+tail_lines = 3
+on_empty = "r1: empty"
+[filters.r2]
+match_command = "^r2"
+match_output = [
+  { pattern = "a1\\n+b2", message = "across", unless = "c$" },
+  { pattern = "(?s)^c.*a1$", message = "" },
+  { pattern = "b2", message = "b" , unless = "a1|^c" },
+]
+strip_lines_matching = ["."]
+on_empty = "r2: empty"
+[filters.r3]
+match_command = "^r3"
+replace = [{ pattern = "(\\w)(\\d)", replacement = "$2$1" }]
+match_output = [{ pattern = "\\A1a\\n2b", message = "begins" }]
+truncate_lines_at = 3
+max_lines = 6
+tail_lines = 2
+[filters.r4]
+match_command = "^r4"
+strip_ansi = true
+""").rules
+
+
+def test_all_nine_rule_stages(spark, tmp_path, rendered):
+    """Limits, messages and empty outputs that only the end of a run decides, wherever the micro-batches end."""
+    rng = random.Random(4)
+    assert len(STAGES) == 5
+    texts = ["a1", "b2", "c", "", "\x1b[31ma1\x1b[0m", "longer line", None]
+    lines = {run: list(enumerate(rng.choices(texts, k=rng.choice([0, 1, 2, 3, 12])), 1)) for run in range(72)}
+    lines |= {2: [(1, "b2")], 3: [(1, "a1"), (2, "b2"), (3, "c")]}
+    command = {run: f"r{run % 6}" for run in lines}
+    schema = "run_id BIGINT, line_no BIGINT, text STRING, command STRING, args STRING, is_end BOOLEAN"
+    parts = [[], [], []]
+    for run, rows in lines.items():
+        edges = sorted(rng.randint(0, len(rows)) for _ in range(2))
+        for part, (low, high) in enumerate(zip([0, *edges], [*edges, len(rows)], strict=True)):
+            parts[part] += [(run, n, text, command[run], "", False) for n, text in rows[low:high]]
+        parts[rng.choice([1, 2]) if edges[1] == len(rows) else 2].append((run, 10**6, None, command[run], "", True))
+    out = feed(
+        spark, tmp_path, [spark.createDataFrame(rows, schema) for rows in parts],
+        lambda stream, *places: R.stream_apply_rules(stream, STAGES, *places, size=3),
+    )
+    runs = spark.createDataFrame([(run, c, "") for run, c in command.items()], "run_id BIGINT, command STRING, args STRING")
+    whole = spark.createDataFrame([(r, n, t) for r, rows in lines.items() for n, t in rows], "run_id BIGINT, line_no BIGINT, text STRING")
+    batch = U.apply_rules(runs, whole, STAGES, size=1000)
+    found = {(r.run_id, r.pos, r.kind, r.text) for r in out.collect()}
+    assert found == {(r.run_id, r.pos, r.kind, r.text) for r in batch.collect()}
+    told = {text for _, _, kind, text in found if kind == "message"}
+    assert told >= {"r0: empty", "r1: empty", "r2: empty", "across", "b", "begins"}
+    state = {name: spark.read.parquet(str(tmp_path / "state" / name / "slot=0")).count() for name in ("kept", "states", "held")}
+    assert state == {"kept": 0, "states": 0, "held": 0}
+    # after the second micro-batch an open run holds at most its tail, unless a message may replace all
+    left = spark.read.parquet(str(tmp_path / "state" / "held" / "slot=1")).where("rule IN (0, 1, 3, 4)")
+    assert left.groupBy("run_id", "rule").count().where("count > IF(rule = 1, 3, 2)").count() == 0
