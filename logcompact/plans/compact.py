@@ -90,21 +90,25 @@ def route_runs(
         match_rule(runs, rules)
         .join(loops, "run_id", "left")
         .join(run_kinds(lines), "run_id", "left")
-        .withColumn("kind", F.coalesce("kind", F.lit("plain")))
-        .withColumn(
-            "bypassed",
-            is_security(F.col("command"), F.col("args"))
-            | is_excluded(F.col("command"), excluded)
-            | F.coalesce("_loop", F.lit(False))
-            | F.coalesce("no_filter", F.lit(False)),
-        )
+        .withColumn("no_filter", F.coalesce("_loop", F.lit(False)) | F.coalesce("no_filter", F.lit(False)))
     )
+    return with_branch(routed, excluded).select("run_id", "rule", "kind", "bypassed", "branch")
+
+
+def with_branch(runs: DataFrame, excluded: Sequence[str]) -> DataFrame:
+    """Add ``bypassed`` and ``branch`` to runs with command, args, no_filter, rule and kind (null without lines)."""
+    bypassed = (
+        is_security(F.col("command"), F.col("args"))
+        | is_excluded(F.col("command"), excluded)
+        | F.coalesce("no_filter", F.lit(False))
+    )
+    runs = runs.withColumn("kind", F.coalesce("kind", F.lit("plain"))).withColumn("bypassed", bypassed)
     branch = (
         F.when(F.col("bypassed"), "bypass")
         .when(F.col("rule").isNotNull(), "rule")
         .otherwise(F.col("kind"))
     )
-    return routed.withColumn("branch", branch).select("run_id", "rule", "kind", "bypassed", "branch")
+    return runs.withColumn("branch", branch)
 
 
 class Compacted(NamedTuple):
@@ -132,7 +136,7 @@ def compact(
     # One copy of the lines with their branch, laid out by branch: each branch reads only its own.
     lined = attach(chunked(lines.select("run_id", "line_no", "text"), "line_no", size), routes.select("run_id", "branch"))
     raw = lined.where("branch IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).drop(CHUNK)
-    routed = _by_branch(raw)
+    routed = by_branch(raw)
 
     def taken(branch: str) -> tuple[DataFrame, DataFrame]:
         chosen = facts.where(F.col("branch") == branch)
@@ -174,7 +178,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _by_branch(lines: DataFrame) -> DataFrame:
+def by_branch(lines: DataFrame) -> DataFrame:
     """Stage the lines in one folder per branch, so that a filter on it prunes files."""
     spark = lines.sparkSession
     path = scratch_path(spark, "routed")

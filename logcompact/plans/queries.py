@@ -24,6 +24,7 @@ from logcompact.sources.history import defaults, read_history
 from logcompact.sources.lines import read_log_lines
 from logcompact.streaming import history as history_streams
 from logcompact.streaming import lines as streams
+from logcompact.streaming import routes as route_streams
 from logcompact.streaming import rules as rule_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -763,6 +764,19 @@ def _stream_rules(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("run_id", "pos", "kind", "text")
 
 
+@query(f"{O.MIXED_CTES} SELECT run_id, a, b, c, d, text FROM output_lines", "stream_route")
+def _stream_route(spark: SparkSession, folder: str) -> DataFrame:
+    runs, lines = _mixed(spark, folder)
+    repeated = loops.loop_guard(runs).where("loop").select("run_id", "loop")
+    runs = runs.join(repeated, "run_id", "left").selectExpr("run_id", "command", "args", "no_filter OR coalesce(loop, false) AS no_filter")
+    lines = attach(chunked(lines), runs).drop("_chunk")
+    _, out = _feed(
+        spark, "routes", _line_parts(lines),
+        lambda stream, *places: route_streams.stream_route(stream, *places, A.RULES, A.PROJECT_RULES),
+    )
+    return _placed(spark.read.parquet(out))
+
+
 @query(O.TEST_SUMMARY, "stream_test_summary")
 def _stream_tests(spark: SparkSession, folder: str) -> DataFrame:
     parts = _line_parts(A.adapted(spark, folder, A.USER_TESTS))

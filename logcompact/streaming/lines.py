@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from logcompact.operators.reports import (
     parse_tap,
     parse_test_events,
     render_packages,
+    summarize_junit,
     tap_counts,
     tap_failures,
     tap_heads,
@@ -105,16 +106,31 @@ def stream_compact(
     rest: an open error block, a success run or repetition that may go on, and the counts of open
     frame and hit series. Rows: (run_id, pos, kind, n, sample, text) under ``out``.
     """
-    pending = Slots(f"{state}/pending", PENDING)
-    counters = Slots(f"{state}/counters", CAP_STATE)
+    advance = compact_step(state, project_rules, blanks, max_stack, max_grep, size)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = staged(batch, "micro-batch")
         ended = staged(batch.where("is_end").select("run_id").distinct(), "ended")
-        fresh = batch.where("NOT is_end").select(
-            "run_id", "line_no", F.coalesce("text", F.lit("")).alias("text"), profile_of().alias("profile")
-        )
+        fresh = batch.where("NOT is_end").select("run_id", "line_no", "text", profile_of().alias("profile"))
+        write_batch(advance(fresh, ended, batch_id), out, batch_id)
+
+    return start(lines, step, checkpoint, **trigger)
+
+
+def compact_step(
+    state: str, project_rules: Sequence[ProjectRule], blanks: bool, max_stack: int, max_grep: int, size: int
+) -> Callable[..., DataFrame]:
+    """What one micro-batch adds to the compacted output: a function of its lines (with profile), the runs it ends and its number.
+
+    Rows ``through`` (run_id, pos, text), of runs that are not compacted, are capped along.
+    """
+    pending = Slots(f"{state}/pending", PENDING)
+    counters = Slots(f"{state}/counters", CAP_STATE)
+
+    def step(fresh: DataFrame, ended: DataFrame, batch_id: int, through: DataFrame | None = None) -> DataFrame:
+        spark = fresh.sparkSession
+        ended = ended.select("run_id")
+        fresh = fresh.withColumn("text", F.coalesce("text", F.lit("")))
         if not blanks:
             fresh = fresh.where("text <> ''")
         fresh = apply_project_rules(fresh, project_rules)
@@ -133,24 +149,32 @@ def stream_compact(
         # A settled line never shares a streak or block with an unsettled one.
         blocks = group_block_lines(placed.where("_in_block AND line_no < cut"), size)
         folded = fold_lines(placed, attach(seen, cuts).where("line_no < cut"))
-        settled = staged(folded.unionByName(blocks), "settled")
+        settled = folded.unionByName(blocks).select("run_id", "pos", "text")
+        settled = staged(settled if through is None else settled.unionByName(through), "settled")
 
         before = counters.before(spark, batch_id)
         capped, after = continue_caps(settled, before, max_stack, max_grep, 2 * size)
         after = staged(after, "caps")
         owed = close_caps(after.join(ended, "run_id", "left_semi"), max_stack, max_grep)
-        write_batch(capped.unionByName(owed), out, batch_id)
         pending.write(placed.where("line_no >= cut"), batch_id)
         counters.write(after.join(ended, "run_id", "left_anti"), batch_id)
+        return capped.unionByName(owed)
+
+    return step
+
+
+Step = Callable[[DataFrame, DataFrame, int], DataFrame]
 
-    return start(lines, step, checkpoint, **trigger)
 
+def _stream_report(lines: DataFrame, advance: Step, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Write what a step makes of the lines of each micro-batch and the runs that it closes."""
 
-def _arrived(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines of a micro-batch and the runs that it closes."""
-    batch = staged(batch.select("run_id", "line_no", "text", "is_end"), "micro-batch")
-    ended = staged(batch.where("is_end").select("run_id").distinct(), "ended")
-    return batch.where("NOT is_end").select("run_id", "line_no", "text"), ended
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = staged(batch.select("run_id", "line_no", "text", "is_end"), "micro-batch")
+        ended = staged(batch.where("is_end").select("run_id").distinct(), "ended")
+        write_batch(advance(batch.where("NOT is_end").drop("is_end"), ended, batch_id), out, batch_id)
+
+    return start(lines, step, checkpoint, **trigger)
 
 
 PACKAGES = (
@@ -192,13 +216,16 @@ def stream_test_summary(
     Each line is parsed once. State of an open run is one row of counts per package and the output of what has not passed
     yet, so it does not grow with passed tests. Lines that are no events appear at once, the rest when the run ends.
     """
+    return _stream_report(lines, test_summary_step(state, size), out, checkpoint, **trigger)
+
+
+def test_summary_step(state: str, size: int) -> Step:
     counts = Slots(f"{state}/packages", PACKAGES)
     output = Slots(f"{state}/output", OUTPUT)
     test = ["run_id", "package", "test"]
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh, ended = _arrived(batch)
+    def step(fresh: DataFrame, ended: DataFrame, batch_id: int) -> DataFrame:
+        spark = fresh.sparkSession
         events = staged(parse_test_events(fresh), "events")
         merged = _add_packages(counts.before(spark, batch_id), events)
         merged = merged.join(ended.withColumn("_ended", F.lit(True)), "run_id", "left")
@@ -221,11 +248,11 @@ def stream_test_summary(
             "'output', output, 'elapsed', 0D) AS event")
         )
         shown = render_packages(closed, kept_test_output(of_closed, closed, size))
-        write_batch(no_events(events).unionByName(shown), out, batch_id)
         counts.write(merged.where("_ended IS NULL"), batch_id)
         output.write(held.where("_ended IS NULL"), batch_id)
+        return no_events(events).unionByName(shown)
 
-    return start(lines, step, checkpoint, **trigger)
+    return step
 
 
 TAP_COUNTS = "run_id BIGINT, total BIGINT, passed BIGINT, failed BIGINT, skipped BIGINT, plan_line BIGINT"
@@ -240,12 +267,15 @@ def stream_tap_summary(
     Each line is read once. State of an open run is one row of counts and at most two lines: its last result, and the mark
     of a diagnostic block that is open. Failures and their diagnostics appear at once, the counts when the run ends.
     """
+    return _stream_report(lines, tap_step(state, size), out, checkpoint, **trigger)
+
+
+def tap_step(state: str, size: int) -> Step:
     counts = Slots(f"{state}/counts", TAP_COUNTS)
     still_open = Slots(f"{state}/open", TAP_OPEN)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh, ended = _arrived(batch)
+    def step(fresh: DataFrame, ended: DataFrame, batch_id: int) -> DataFrame:
+        spark = fresh.sparkSession
         # The lines held put the parser in the state it had; they were counted when they came.
         held = staged(still_open.before(spark, batch_id), "open")
         both = held.unionByName(fresh)
@@ -263,7 +293,6 @@ def stream_tap_summary(
             F.max("plan_line").alias("plan_line"),
         )
         merged = staged(merged.join(ended.withColumn("_ended", F.lit(True)), "run_id", "left"), "counts")
-        write_batch(tap_heads(merged.where("_ended")).unionByName(tap_failures(new)), out, batch_id)
         counts.write(merged.where("_ended IS NULL"), batch_id)
 
         marks = both.where(trim_space(F.col("text")) == "---").groupBy("run_id").agg(
@@ -277,5 +306,21 @@ def stream_tap_summary(
         result = result.selectExpr("run_id", "line_no", "IF(what = 'fail', 'not ok 0', 'ok 0') AS text")
         left = marks.unionByName(result).join(ended, "run_id", "left_anti")
         still_open.write(left, batch_id)
+        return tap_heads(merged.where("_ended")).unionByName(tap_failures(new))
 
-    return start(lines, step, checkpoint, **trigger)
+    return step
+
+
+def junit_step(state: str, size: int) -> Step:
+    """Summaries of JUnit reports as their runs end. Whether a report is well-formed shows at its end, and if not its lines
+    are the output, so the lines of an open run are its state; they are moved, and read as XML once."""
+    held = Slots(f"{state}/lines", TAP_OPEN)
+
+    def step(fresh: DataFrame, ended: DataFrame, batch_id: int) -> DataFrame:
+        rows = held.before(fresh.sparkSession, batch_id).unionByName(fresh)
+        rows = attach(chunked(rows, "line_no", size), ended.select("run_id", F.lit(True).alias("_ended")))
+        rows = staged(rows, "reports")
+        held.write(rows.where("_ended IS NULL"), batch_id)
+        return summarize_junit(rows.where("_ended").select("run_id", "line_no", "text"), size)
+
+    return step
