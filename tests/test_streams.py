@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from logcompact.operators import blocks, caps, loops, reports
 from logcompact.operators import rules as U
-from logcompact.plans.compact import compact_plain
+from logcompact.plans.compact import compact, compact_plain
 from logcompact.streaming import history as H
 from logcompact.sources.control import parse_rules
 from logcompact.streaming import lines as L
+from logcompact.streaming import routes as W
 from logcompact.streaming import rules as R
 
 TEXTS = [
@@ -248,3 +249,33 @@ def test_all_nine_rule_stages(spark, tmp_path, rendered):
     # after the second micro-batch an open run holds at most its tail, unless a message may replace all
     left = spark.read.parquet(str(tmp_path / "state" / "held" / "slot=1")).where("rule IN (0, 1, 3, 4)")
     assert left.groupBy("run_id", "rule").count().where("count > IF(rule = 1, 3, 2)").count() == 0
+
+
+def test_runs_of_all_branches_in_one_stream(spark, tmp_path, rendered):
+    """Each run is routed by what its first micro-batch tells, and gives what compact makes of the whole run."""
+    texts = {
+        0: ["ok  \ta", "ok  \tb", "x", "a.go:1: e"], 1: ['{"Action":"output","Package":"p","Output":"o"}', '{"Action":"pass","Package":"p"}'],
+        2: ["TAP version 13", "1..2", "ok 1", "not ok 2 - z"], 3: ["<testsuite name='n' tests='2' failures='1'>",
+        "<testcase name='t'><failure message='m'/></testcase>", "</testsuite>"], 4: ["a1", "b2", "longer line"],
+        5: ["a:1:x", "a:2:x", "a:3:x", "b"], 6: ["<testsuite>", "</broken>"], 7: [], 8: ["bad", "b"], 9: ["<?xml"],
+    }
+    calls = {4: "r1", 5: "snyk", 8: "r0"}
+    runs = [(run, dt.datetime(2024, 1, 1 + run), calls.get(run, "tool"), "", 0, 1, run == 9) for run in texts]
+    schema = "run_id BIGINT, line_no BIGINT, text STRING, command STRING, args STRING, no_filter BOOLEAN, is_end BOOLEAN"
+    parts = [[], [], []]
+    for run, _, command, args, _, _, plain in runs:
+        for n, text in enumerate(texts[run]):
+            parts[min(n, 2)].append((run, n, text, command, args, plain, False))
+        parts[2].append((run, 10**6, None, command, args, plain, True))
+    out = feed(
+        spark, tmp_path, [spark.createDataFrame(rows, schema) for rows in parts],
+        lambda stream, *places: W.stream_route(stream, *places, STAGES, max_grep=1, size=2),
+    )
+    table = spark.createDataFrame(
+        runs, "run_id BIGINT, ts TIMESTAMP, command STRING, args STRING, exit_code INT, exec_ms BIGINT, no_filter BOOLEAN"
+    )
+    whole = spark.createDataFrame([(r, n, t) for r, rows in texts.items() for n, t in enumerate(rows)], "run_id BIGINT, line_no BIGINT, text STRING")
+    want = rendered(compact(table, whole, STAGES, max_grep=1, size=1000).lines, "place")
+    assert rendered(out, "place") == want
+    assert want[5] == ["a:1:x", "[2 more search hits]", "b"] and want[8] == ["r0: empty"] and want[9] == ["<?xml"]
+    assert spark.read.parquet(str(tmp_path / "state" / "routes" / "slot=0")).count() == 0
