@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logcompact.functions.automata import BEFORE
-from logcompact.operators.ordered import CHUNK_ROWS, attach, chunked
+from logcompact.operators.ordered import CHUNK_ROWS, attach, beside, chunked
 from logcompact.operators.rules import (
     automaton_answers,
-    automaton_maps,
+    automaton_states,
     by_rule,
     clean_lines,
     decided,
@@ -55,14 +54,11 @@ def rule_step(rules: Sequence[Rule], state: str, size: int) -> Callable[[DataFra
         lines = chunked(lines.where("rule IS NOT NULL").select("run_id", "line_no", "text", "rule"), "line_no", size)
         cleaned = clean_lines(lines, rules)
 
-        told = states.before(spark, batch_id).withColumnRenamed("state", "_before")
+        told = states.before(spark, batch_id)
         if machines:
             asked = sorted({machine.place for machine in machines})
-            maps = automaton_maps(cleaned.where(F.col("rule").isin(asked)), machines)
-            told = told.join(maps, ["run_id", "slot"], "full")
-            now = F.element_at("map", F.coalesce("_before", F.lit(BEFORE)) + 1)
-            told = told.select("run_id", "slot", F.coalesce(now, "_before").alias("state"))
-            told = staged(told.join(closed, "run_id", "left"), "states")
+            told = automaton_states(cleaned.where(F.col("rule").isin(asked)), machines, told)
+            told = staged(told.join(beside(closed), "run_id", "left"), "states")
             answered = automaton_answers(told.where("_ended"), machines, slots)
             replaced = staged(decided(ended, answered, rules), "replaced")
             states.write(told.where("_ended IS NULL"), batch_id)
@@ -77,7 +73,7 @@ def rule_step(rules: Sequence[Rule], state: str, size: int) -> Callable[[DataFra
         kept = staged(kept, "kept")
         after = before.unionByName(kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("kept")))
         after = staged(after.groupBy("run_id").agg(F.sum("kept").alias("kept")), "counts")
-        counts.write(after.join(closed, "run_id", "left_anti"), batch_id)
+        counts.write(after.join(beside(closed), "run_id", "left_anti"), batch_id)
 
         waiting = held.before(spark, batch_id).unionByName(kept.where(F.col("rule").isin(waits)))
         waiting = lines_within(waiting, None, last, size).withColumn("line_no", F.col("line_no").cast("bigint"))
@@ -87,7 +83,7 @@ def rule_step(rules: Sequence[Rule], state: str, size: int) -> Callable[[DataFra
         shown = attach(waiting.where("_ended"), replaced.select("run_id", F.lit(True).alias("_replaced")))
         shown = shown.where("_replaced IS NULL").select("run_id", "line_no", "text")
         shown = shown.unionByName(kept.where(~F.col("rule").isin(waits)).select("run_id", "line_no", "text"))
-        quiet = ended.where("rule IS NOT NULL").join(replaced.select("run_id"), "run_id", "left_anti")
+        quiet = ended.where("rule IS NOT NULL").join(beside(replaced.select("run_id")), "run_id", "left_anti")
         return (
             shown.select("run_id", F.col("line_no").alias("pos"), F.lit("line").alias("kind"), "text")
             .unionByName(message_rows(replaced.where("message <> ''")))

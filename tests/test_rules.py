@@ -212,3 +212,47 @@ def test_limits_are_counted_by_chunk(spark):
     assert U.head_lines(lines.where("false"), 3).count() == 0
     doubled = lines.where("run_id = 0").limit(1).unionByName(lines.where("run_id = 0").limit(1))
     assert U.head_lines(doubled, 1).count() == 2
+
+
+def test_only_the_first_run_of_a_range_needs_maps(spark):
+    """Runs that begin in a range go from state to state, however sparse their lines; states may come from earlier lines."""
+    import pyarrow as pa
+
+    rules = [U.Rule("r", match_output=(K.MatchOutput(r"(?s)a.*b.*c", "all"),))]
+    machines = U.entry_machines(rules, [0])
+    rows = [(run, n * 10_000_000, 0, text, None, None) for run in range(4) for n, text in enumerate("xaybzc" * (run + 1))]
+    names = ["run_id", "line_no", "rule", "text", "slot", "state"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def walked(rows, size):
+        batches = [rows[k : k + size] for k in range(0, len(rows), size)]
+        arrays = [[pa.array(c, t) for c, t in zip(zip(*b, strict=True), types, strict=True)] for b in batches]
+        return [row for b in U._walked((pa.RecordBatch.from_arrays(a, names=names) for a in arrays), machines) for row in b.to_pylist()]
+
+    for size in (1, 4, 7, 100):
+        found = walked(rows, size)
+        assert [(row["run_id"], row["line_no"]) for row in found] == [(run, 0) for run in range(4)]
+        assert [row["map"] is not None for row in found] == [True, False, False, False]
+        ends = [machines[0].automaton.ends[row["map"][0] if row["map"] else row["state"]] for row in found]
+        assert all(ends)
+
+    schema = "run_id BIGINT, line_no BIGINT, rule INT, text STRING"
+    cut = [[row[:4] for row in rows if (row[1] < 30_000_000) == early and row[0] < 2] for early in (True, False)]
+    before = spark.createDataFrame([], "run_id BIGINT, slot INT, state INT")
+    for part in cut:
+        before = U.automaton_states(spark.createDataFrame(part, schema), machines, before)
+    once = U.automaton_states(spark.createDataFrame([row[:4] for row in rows if row[0] < 2], schema), machines)
+    assert sorted(before.collect()) == sorted(once.collect())
+
+
+def test_run_over_many_ranges(spark, monkeypatch):
+    """One run over all ranges, some of them composed first."""
+    monkeypatch.setattr(U, "RANGES_TOGETHER", 2)
+    rules = [U.Rule("r", match_output=(K.MatchOutput(r"(?s)^a.*b.*c$", "all"),))]
+    machines = U.entry_machines(rules, [0])
+    texts = {1: ["a", *["x"] * 500, "b", *["y"] * 500, "c"], 2: ["b"], 3: ["a", "c", "b"]}
+    rows = [(run, n, 0, text) for run, lines in texts.items() for n, text in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "run_id BIGINT, line_no BIGINT, rule INT, text STRING")
+    found = {row["run_id"]: row["state"] for row in U.automaton_states(lines, machines).collect()}
+    ends = machines[0].automaton.ends
+    assert {run: bool(ends[state]) for run, state in found.items()} == {1: True, 2: False, 3: False}
