@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcompact.operators.ordered import BEFORE, CHUNK
+from logcompact.operators.ordered import BEFORE, CHUNK, beside
 from logcompact.session import staged
 
 
@@ -46,7 +46,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.withColumn(
         "_base", F.expr(f"coalesce(sum(_n) OVER (PARTITION BY file ORDER BY {CHUNK} {BEFORE}), 0L)")
     )
-    return rows.join(staged(parts, "splits"), ["file", CHUNK]).select(
+    return rows.join(beside(staged(parts, "splits")), ["file", CHUNK]).select(
         F.xxhash64("file").alias("run_id"),
         (F.col("_base") + F.col("_seq") - F.col("_low") + 1).alias("line_no"),
         "text",

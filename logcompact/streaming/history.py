@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logcompact.operators.loops import GAP_SECONDS, THRESHOLD, loop_guard
+from logcompact.operators.ordered import beside
 from logcompact.session import staged
 from logcompact.streaming.state import Slots, start, write_batch
 
@@ -40,7 +41,7 @@ def stream_loop_guard(
             F.max_by("count", F.struct("ts", "run_id")).alias("n"),
             F.max("ts").cast("timestamp").alias("ts"),
         )
-        kept = last.unionByName(before.join(last, "key", "left_anti"))
+        kept = last.unionByName(before.join(beside(last), "key", "left_anti"))
         newest = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
         oldest = F.lit(newest) - F.expr(f"INTERVAL {int(gap_seconds)} SECONDS")
         live = kept if newest is None else kept.where(F.col("ts") >= oldest)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logcompact.operators.caps import MAX_GREP_HITS, MAX_STACK_FRAMES
-from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, chunked
+from logcompact.operators.ordered import CHUNK, CHUNK_ROWS, attach, beside, chunked
 from logcompact.operators.reports import place
 from logcompact.operators.rules import match_rule
 from logcompact.plans.compact import by_branch, run_kinds, with_branch
@@ -59,10 +59,10 @@ def stream_route(
         calls = batch.groupBy("run_id").agg(
             F.first("command", True).alias("command"), F.first("args", True).alias("args"), F.bool_or("no_filter").alias("no_filter")
         )
-        new = match_rule(calls.join(known, "run_id", "left_anti"), rules).join(run_kinds(fresh), "run_id", "left")
+        new = match_rule(calls.join(beside(known), "run_id", "left_anti"), rules).join(beside(run_kinds(fresh)), "run_id", "left")
         new = with_branch(new, excluded).select("run_id", "rule", "branch", profile_of().alias("profile"))
         now = staged(known.unionByName(new), "routes")
-        ended = staged(batch.where("is_end").select("run_id").distinct().join(now, "run_id"), "ended")
+        ended = staged(batch.where("is_end").select("run_id").distinct().join(beside(now), "run_id"), "ended")
         routed = by_branch(attach(chunked(fresh, "line_no", size), now).drop(CHUNK))
 
         def of(branch: str) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +79,6 @@ def stream_route(
             lined, closed = of(branch)
             shown = shown.unionByName(report(lined.select("run_id", "line_no", "text"), closed.select("run_id"), batch_id))
         write_batch(shown, out, batch_id)
-        routes.write(now.join(ended.select("run_id"), "run_id", "left_anti"), batch_id)
+        routes.write(now.join(beside(ended.select("run_id")), "run_id", "left_anti"), batch_id)
 
     return start(lines, step, checkpoint, **trigger)

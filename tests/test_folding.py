@@ -189,3 +189,28 @@ def test_one_run_with_most_of_the_rows_spreads_over_tasks(spark):
     spread = chunked(lines, "line_no", 1000).repartition(8, "run_id", "_chunk")
     largest = spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert largest <= 40_000 / 2
+
+
+def test_facts_are_joined_where_their_rows_are(spark, lines_of):
+    """Facts per run and chunk grow with the input: no join sends them to the driver, small as they are."""
+    from pyspark.sql import functions as F
+
+    from logcompact.operators.blocks import collapse_success
+    from logcompact.operators.caps import cap_rows
+    from logcompact.operators.ordered import attach, chunked, number_rows
+    from logcompact.operators.rules import head_lines
+
+    lines = lines_of({1: "a\nb\nc", 2: "ok\nok"})
+    facts = spark.createDataFrame([(1, "x")], "run_id BIGINT, fact STRING")
+    made = [
+        attach(chunked(lines, size=2), facts),
+        number_rows(lines, ["run_id"], "line_no", "n", 2),
+        collapse_success(lines.withColumn("profile", F.lit(None).cast("string")), 2),
+        cap_rows(lines.withColumnRenamed("line_no", "pos"), 1, 1, 2),
+        head_lines(lines, 2, 2),
+    ]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
