@@ -214,3 +214,14 @@ def test_facts_are_joined_where_their_rows_are(spark, lines_of):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_caps_classify_rows_once(spark, lines_of, rendered):
+    rows = lines_of({1: "-rw-r--r-- 1 u g 5 Jan 1 10:00 a b.txt\nx.py:1: a\nx.py:2: b\n\tat f\n\tat g\nend", 2: "x.py:3: c"})
+    capped = caps.cap_rows(rows.withColumnRenamed("line_no", "pos"), 1, 1, 4)
+    # what reads the classified rows again and again holds no pattern
+    assert "RLIKE" not in capped._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert rendered(capped) == {
+        1: ["a b.txt", "x.py:1: a", "[1 more search hits]", "\tat f", "\tat g", "end"],
+        2: ["x.py:3: c"],
+    }

@@ -181,3 +181,23 @@ def test_blank_lines_decide_how_long_a_block_lasts(spark, lines_of, rendered):
 def test_token_estimate(spark):
     frame = spark.createDataFrame([("abcdefgh",), ("",)], "t string")
     assert [r.n for r in frame.select(text.token_estimate(F.col("t")).alias("n")).collect()] == [2, 0]
+
+
+def test_loop_guard_looks_for_words_once_per_run(spark, monkeypatch):
+    plans = []
+
+    def seen(rows, name):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return staged(rows, name)
+
+    staged = loops.staged
+    monkeypatch.setattr(loops, "staged", seen)
+    lines = spark.createDataFrame(
+        [(run, f"2024-01-01 00:0{n}:00", "make" if run < 3 else "trivy") for run in (1, 2, 3) for n in range(2)], "run_id BIGINT, ts STRING, command STRING"
+    )
+    runs = lines.groupBy("run_id", "command").agg(F.min(F.col("ts").cast("timestamp")).alias("ts")).withColumn("args", F.lit("x"))
+    found = {r["run_id"]: r["count"] for r in loops.loop_guard(runs, pieces=2).collect()}
+    assert found == {1: 1, 2: 2}
+    # a filter below the grouping would read every line of a run
+    assert "Aggregate" in plans[0]
+    assert "Filter" not in plans[0].partition("Aggregate")[2]
