@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from logcompact.operators import blocks, caps, loops, reports
@@ -60,6 +61,24 @@ def test_compaction(spark, tmp_path, rendered, blanks):
     assert rendered(out) == rendered(batch)
 
 
+def test_micro_batches_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Facts per run and chunk, state and ended runs grow with the input: no step sends them to the driver, small as they are."""
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def write(writer, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(writer, *args, **options)
+
+    schema = "run_id BIGINT, line_no BIGINT, text STRING, command STRING, is_end BOOLEAN"
+    lines = [(run, n, text, "tool", False) for run in (1, 2) for n, text in enumerate(TEXTS)]
+    ends = [(run, 10**6, None, "tool", True) for run in (1, 2)]
+    batches = [spark.createDataFrame(rows, schema) for rows in (lines, ends)]
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    feed(spark, tmp_path, batches, lambda stream, *places: L.stream_compact(stream, *places, blanks=True, size=8))
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 3
+    assert not [plan for plan in plans if "Broadcast" in plan]
+
+
 def test_loop_guard(spark, tmp_path):
     rng, at, rows = random.Random(2), 0, []
     for i in range(120):
